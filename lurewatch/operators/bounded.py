@@ -1,0 +1,57 @@
+"""Small tables with a proven size, and joins that stand one very frequent key."""
+
+from pyspark.sql import functions as F
+
+# A local table of this many narrow rows is a few MB at most.
+MAX_LOCAL_ROWS = 50_000
+
+
+def as_local(df, max_rows=MAX_LOCAL_ROWS):
+    """``df`` as a driver-held relation if it has at most ``max_rows`` rows, else None.
+
+    The size is checked by reading one row more than allowed, so an unexpectedly large table is
+    noticed before it reaches the driver. Catalyst knows the size of the result.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return None
+    return df.sparkSession.createDataFrame(rows, schema=df.schema)
+
+
+def lookup_join(left, right, on, salt_by, how="left", share=200, salts=32, max_rows=MAX_LOCAL_ROWS):
+    """``left join right`` for a ``right`` that is unique on ``on``, whatever the skew of ``left``.
+
+    A ``right`` of proven small size is broadcast. Otherwise keys that hold more than ``1/share`` of the
+    rows of ``left`` (there are fewer than ``share`` of them, so their list is bounded) are spread over
+    ``salts`` partitions and their row of ``right`` is repeated for each; all other rows are joined as usual.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    small = as_local(right, max_rows)
+    if small is not None:
+        return left.join(F.broadcast(small), on, how)
+
+    hot = hot_keys(left, on, share)
+    if not hot:
+        return left.join(right, on, how)
+    key = F.to_json(F.struct(*on))
+    is_hot = key.isin(hot)
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in salt_by]), F.lit(salts)).cast("int")
+    salted_left = left.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
+    salted_right = right.withColumn(
+        "_salt",
+        F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
+    )
+    return salted_left.join(salted_right, on + ["_salt"], how).drop("_salt")
+
+
+def hot_keys(df, on, share):
+    """JSON forms of the keys of ``df`` with more than ``1/share`` of its rows; fewer than ``share`` entries."""
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    # Heaviest ``share`` keys only: no key beyond them can exceed 1/share of the total.
+    total = df.count()
+    rows = (
+        counts.filter(F.col("_n") * share > F.lit(total))
+        .select(F.to_json(F.struct(*on)).alias("k"))
+        .collect()
+    )
+    return [r["k"] for r in rows if r["k"] is not None]
