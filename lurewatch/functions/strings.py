@@ -122,7 +122,9 @@ def _accent_tables():
 def strip_accents(col):
     """Compatibility decomposition without combining marks; text in ASCII passes through untouched."""
     source, target, several, expanding, harmless = _accent_tables()
-    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    # One literal and not thousands keeps plans small; the map is folded once.
+    pairs = "\x01".join(f"{char}\x02{plain}" for char, plain in several.items())
+    table = F.str_to_map(F.lit(pairs), F.lit("\x01"), F.lit("\x02"))
 
     def expand(text, char):
         return F.replace(text, char, F.coalesce(F.try_element_at(table, char), _jamo(char)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lurewatch import constants as K
 from lurewatch.functions import strings as S
 from lurewatch.functions import text as T
-from lurewatch.operators.bounded import MAX_LOCAL_ROWS
+from lurewatch.operators.bounded import lookup_join
 
 
 def clean_text(df, text="text"):
@@ -40,22 +40,20 @@ def with_terms(df, text="text", terms="terms", config=TextConfig()):
     return df.withColumn("_words", words).withColumn(terms, T.ngrams(F.col("_words"))).drop("_words")
 
 
-def with_term_counts(df, terms="terms", counts="term_counts"):
-    return df.withColumn(counts, T.term_counts(F.col(terms)))
-
-
 def document_frequencies(df, text="text", config=TextConfig()):
     """(term, df, tf): documents that hold a term and its total count.
 
-    Every document brings each of its terms once, with its count, so the only shuffle is on the terms,
-    after partial sums on the map side.
+    Terms are sorted inside their row and each is paired with the one before it, so a term opens a run
+    exactly once per document: one aggregation gives both counts. The only shuffle is on the terms, after
+    partial sums on the map side. (The outer form of explode is used throughout this module: for the plain
+    one the optimizer adds a filter on the array's size, which computes the array twice.)
     """
-    counted = with_term_counts(with_terms(df, text, config=config))
-    return (
-        counted.select(F.explode("term_counts").alias("t"))
-        .groupBy(F.col("t.term").alias("term"))
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("t.tf").alias("tf"))
-    )
+    ordered = with_terms(df, text, config=config).select(F.sort_array("terms").alias("s"))
+    shifted = F.concat(F.array(F.lit(None).cast("string")), F.col("s"))
+    pairs = ordered.select(F.explode_outer(F.arrays_zip(F.col("s").alias("term"), shifted.alias("before"))).alias("p"))
+    rows = pairs.select("p.term", "p.before").filter(F.col("term").isNotNull())
+    opens = ~F.col("term").eqNullSafe(F.col("before"))
+    return rows.groupBy("term").agg(F.count_if(opens).alias("df"), F.count(F.lit(1)).alias("tf"))
 
 
 def select_vocabulary(frequencies, n_docs, config=TextConfig()):
@@ -99,39 +97,36 @@ class TextVectorizer:
         return out.drop("terms", "_counts", "_weighted")
 
 
-def tfidf_long(df, vocabulary, ids="doc_id", text="text", config=TextConfig(), normalise=True):
-    """(id, term, tf, tfidf) of the known terms of every document.
-
-    ``vocabulary`` has (term, idf) and holds at most ``config.max_features`` rows. It is broadcast up to a
-    checked size and joined on the term beyond that.
-    """
-    counted = with_term_counts(with_terms(df, text, config=config)).select(
-        ids, F.explode("term_counts").alias("t")
-    )
-    known = vocabulary.select("term", "idf")
-    if config.max_features <= MAX_LOCAL_ROWS:
-        known = F.broadcast(known)
-    weighted = (
-        counted.select(ids, "t.term", "t.tf")
-        .join(known, "term")
-        .select(ids, "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"))
-    )
+    def long_form(self, df, ids="doc_id", text="text", normalise=True):
+        """(id, term, tf, tfidf) of the known terms of every document. A row opens up where it lies: no shuffle."""
+        out = with_terms(df.select(ids, text), text, config=self.config)
+        for stage in self.stages():
+            out = stage.transform(out)
+        counts, weights = (F.unwrap_udt(c) for c in ("_counts", "features" if normalise else "_weighted"))
+        # Both vectors hold the same positions.
+        entries = F.arrays_zip(positions(counts).alias("i"), counts["values"].alias("tf"), weights["values"].alias("w"))
+        terms = F.lit(self.terms)
+        return (
+            out.select(ids, F.explode_outer(entries).alias("e"))
+            .filter(F.col("e.tf") > 0)
+            .select(ids, F.get(terms, F.col("e.i")).alias("term"), F.col("e.tf").cast("int").alias("tf"),
+                    F.col("e.w").alias("tfidf"))
+        )
+
+
+def positions(vector):
+    """Positions of the entries of an unwrapped vector; a dense one lists none."""
+    return F.coalesce(vector["indices"], F.sequence(F.lit(0), F.size(vector["values"]) - 1))
+
+
+def tfidf_joined(df, vocabulary, ids="doc_id", text="text", config=TextConfig(), normalise=True):
+    """The long form for a vocabulary (term, idf) of any size, by a join that stands very frequent terms."""
+    exploded = with_terms(df, text, config=config).select(ids, F.explode_outer("terms").alias("term"))
+    # Counted per document first: a document has at most its own length in rows here.
+    counted = exploded.filter(F.col("term").isNotNull()).groupBy(ids, "term").agg(F.count(F.lit(1)).alias("tf"))
+    known = lookup_join(counted, vocabulary.select("term", "idf"), "term", salt_by=[ids], how="inner")
+    weighted = known.select(ids, "term", F.col("tf").cast("int").alias("tf"), (F.col("tf") * F.col("idf")).alias("tfidf"))
     if not normalise:
         return weighted
-    # One document has at most max_features rows here, so a group is never large.
     norms = weighted.groupBy(ids).agg(F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf"))).alias("_norm"))
     return weighted.join(norms, ids).withColumn("tfidf", F.try_divide("tfidf", "_norm")).drop("_norm")
-
-
-def vector_entries(df, vectorizer_terms, ids="doc_id", features="features"):
-    """(id, term, weight) of the non-zero entries of a sparse vector column, without Python."""
-    raw = F.unwrap_udt(F.col(features))
-    # A vector may come out dense, with no index list.
-    positions = F.coalesce(raw["indices"], F.sequence(F.lit(0), F.size(raw["values"]) - 1))
-    pairs = F.arrays_zip(positions.alias("i"), raw["values"].alias("w"))
-    terms = F.lit(list(vectorizer_terms))
-    return (
-        df.select(ids, F.explode(pairs).alias("e"))
-        .filter(F.col("e.w") != 0)
-        .select(ids, F.get(terms, F.col("e.i")).alias("term"), F.col("e.w").alias("weight"))
-    )
