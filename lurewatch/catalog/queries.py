@@ -405,7 +405,7 @@ def result_violations(spark, sf):
 
 @query
 def score_drift(spark, sf):
-    left = I.line_scores(spark, sf).select("id", "score")
+    left = I.order_scores(spark, sf).select("id", F.coalesce("tier1_score", F.lit(0.5)).alias("score"))
     moved = F.when(F.col("id") % 6 == 0, F.col("score") + 1e-6).when(
         F.col("id") % 6 == 1, F.col("score") + 1e-12
     ).otherwise(F.col("score"))

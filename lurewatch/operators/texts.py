@@ -105,7 +105,8 @@ class TextVectorizer:
         counts, weights = (F.unwrap_udt(c) for c in ("_counts", "features" if normalise else "_weighted"))
         # Both vectors hold the same positions.
         entries = F.arrays_zip(positions(counts).alias("i"), counts["values"].alias("tf"), weights["values"].alias("w"))
-        terms = F.lit(self.terms)
+        # One literal that is split once when the plan is made; terms hold no control characters.
+        terms = F.split(F.lit("\x01".join(self.terms)), "\x01")
         return (
             out.select(ids, F.explode_outer(entries).alias("e"))
             .filter(F.col("e.tf") > 0)
