@@ -8,6 +8,7 @@ def computed_once(col):
 
     A filter on a computed column is pushed below its projection by repeating the column's expression
     there. For a model score that doubles the dearest step of a plan. The condition always holds, but the
-    optimizer cannot know it and leaves the projection whole. Apply filters on other columns before.
+    optimizer cannot know it and leaves the projection whole. (A bare ``rand() >= 0`` it does know.)
+    Apply filters on other columns before.
     """
-    return F.when(F.rand(0) >= 0, col)
+    return F.when(F.rand(0) * 2 >= 0, col)
