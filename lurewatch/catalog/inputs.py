@@ -6,6 +6,8 @@ same rows; what is checked is computed separately.
 
 from pyspark.sql import functions as F
 
+from lurewatch.session import spread
+
 NOW = 1_700_000_000.0
 
 # Eleven forms of every page url: as it is, and with the peculiarities that the features look at.
@@ -61,8 +63,13 @@ MAIL_NAME = "CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN ''
 MAIL_CONTENT = "CASE WHEN event_id % 6 = 0 THEN NULL ELSE 'see https://example.com/' || event_type || ' ' || props END"
 
 
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark, sf, name):
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; those whose rows are costly to work on are spread over all cores."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def url_forms(spark, sf):

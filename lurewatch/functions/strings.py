@@ -47,11 +47,17 @@ def is_ascii(col):
     return F.octet_length(col) == F.char_length(col)
 
 
+def is_blank(col):
+    """No character but white space; the search ends at the first other character."""
+    return ~F.regexp_like(col, F.lit(f"[^{space_class()}]"))
+
+
 def strip(col):
-    """Remove leading and trailing Unicode white space."""
+    """Remove leading and trailing Unicode white space. Most texts have none, which their two ends tell."""
     s = space_class()
+    padded = F.regexp_like(F.concat(F.left(col, F.lit(1)), F.right(col, F.lit(1))), F.lit(f"[{s}]"))
     # The look-behind keeps long inner runs of white space linear.
-    return F.regexp_replace(col, rf"\A[{s}]++|(?<![{s}])[{s}]++\z", "")
+    return F.when(padded, F.regexp_replace(col, rf"\A[{s}]++|(?<![{s}])[{s}]++\z", "")).otherwise(col)
 
 
 def count_char(col, char):

@@ -14,7 +14,7 @@ from lurewatch.operators.bounded import lookup_join
 
 def clean_text(df, text="text"):
     """Drop rows whose text is missing or only white space."""
-    return df.filter(F.col(text).isNotNull() & (S.strip(F.col(text)) != ""))
+    return df.filter(F.col(text).isNotNull() & ~S.is_blank(F.col(text)))
 
 
 def require_columns(df, *names):

@@ -57,3 +57,18 @@ def materialise(df, name="table"):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SMALL_INPUT_BYTES = 1 << 30
+
+
+def spread(df):
+    """Give every core a share of a small input; a large one is left as it is.
+
+    A small file is often a single row group, so one task would do all the work on its rows. Shuffling less
+    than 1 GB costs little; larger inputs have enough splits of their own and are never shuffled here.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= SMALL_INPUT_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
