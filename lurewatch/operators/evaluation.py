@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lurewatch import constants as K
 from lurewatch.operators.bounded import lookup_join
+from lurewatch.operators.ranking import bounds_below, search_index
 
 
 def confusion_matrix(df, label="label", prediction="prediction"):
@@ -80,14 +81,12 @@ def roc_auc(df, score="score", label="label", by=(), n_bounds=256):
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg")
     )
     shares = [i / n_bounds for i in range(1, n_bounds)]
-    bounds = distinct.groupBy(*by).agg(F.percentile_approx(score, shares).alias("_bounds"))
+    bounds = distinct.groupBy(*by).agg(search_index(F.percentile_approx(score, shares)).alias("_bounds"))
     if by:
         bucketed = lookup_join(distinct, bounds, by, salt_by=[score], how="inner")
     else:
         bucketed = distinct.crossJoin(F.broadcast(bounds))  # one row of 255 numbers
-    bucketed = bucketed.withColumn(
-        "_bucket", F.size(F.filter(F.array_distinct("_bounds"), lambda b: b < F.col(score)))
-    ).drop("_bounds")
+    bucketed = bucketed.withColumn("_bucket", bounds_below(F.col("_bounds"), F.col(score))).drop("_bounds")
 
     # Pairs won inside a bucket, plus the bucket's totals.
     earlier = Window.partitionBy(*by, "_bucket").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)

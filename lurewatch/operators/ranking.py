@@ -55,3 +55,21 @@ def assign_parts(df, label, order, bucket, cuts, part="part"):
 
 def parts_below(cuts, rank):
     return F.size(F.filter(F.col(cuts), lambda c: c <= rank))
+
+
+STRIDE = 16
+
+
+def search_index(bounds):
+    """struct<fine, coarse> of an array of bounds: the sorted bounds, and every ``STRIDE``-th of them."""
+    fine = F.array_sort(F.array_distinct(bounds))
+    return F.struct(
+        fine.alias("fine"), F.filter(fine, lambda b, i: i % STRIDE == STRIDE - 1).alias("coarse")
+    )
+
+
+def bounds_below(index, value):
+    """How many bounds lie below ``value``, in two short scans instead of one over all bounds."""
+    skipped = F.size(F.filter(index["coarse"], lambda b: b < value)) * STRIDE
+    rest = F.slice(index["fine"], skipped + 1, F.lit(STRIDE))
+    return skipped + F.size(F.filter(rest, lambda b: b < value))

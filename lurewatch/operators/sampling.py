@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lurewatch import constants as K
-from lurewatch.operators.ranking import assign_parts, hash_order
+from lurewatch.operators.ranking import assign_parts, bounds_below, hash_order, search_index
 
 HEX_DIGITS = 3
 
@@ -59,9 +59,9 @@ def assign_folds(df, label="label", ids="doc_id", folds=K.N_FOLDS, part="fold",
     """
     # Bounds only balance the buckets; ranks are exact whatever they are.
     shares = [i / n_bounds for i in range(1, n_bounds)]
-    bounds, = df.agg(F.percentile_approx(ids, shares)).first()
-    bounds = sorted(set(bounds or []))
-    bucket = F.size(F.filter(F.lit(bounds), lambda b: b < F.col(ids))) if bounds else F.lit(0)
+    bounds = df.agg(search_index(F.percentile_approx(ids, shares)).alias("_bounds"))
+    indexed = df.crossJoin(F.broadcast(bounds))  # one row of 255 ids
+    bucket = bounds_below(F.col("_bounds"), F.col(ids))
     first_rows = df.groupBy(label).agg(F.min(ids).alias("_first_id"))
 
     def cuts(classes):
@@ -74,4 +74,4 @@ def assign_folds(df, label="label", ids="doc_id", folds=K.N_FOLDS, part="fold",
         sizes = [positions(F.col("_stop"), i) - positions(F.col("_stop") - F.col("n"), i) for i in range(folds)]
         return placed.withColumn("cuts", F.array(*[sum(sizes[1:i + 1], sizes[0]) for i in range(folds - 1)]))
 
-    return assign_parts(df, label, [ids], bucket, cuts, part)
+    return assign_parts(indexed, label, [ids], bucket, cuts, part).drop("_bounds")
