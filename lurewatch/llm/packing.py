@@ -1,12 +1,15 @@
 """Tokenised documents packed into sequences of bounded length by the sum-of-squares rule."""
 
+import json
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
+from tokenizers import Tokenizer
 
 from lurewatch.session import materialise
 
@@ -14,62 +17,54 @@ SEQUENCE = 1024
 END_ID = 2
 #: Pieces that one task packs. More tasks leave a few more sequences open at their end.
 GROUP_ROWS = 100_000
-MAX_CACHED = 300_000
+# Fixed value: the pre-token pattern of this family of vocabularies.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class WordTokens:
-    """Token ids of whole texts as little-endian bytes, remembered for each blank-separated piece.
+class Tokens:
+    """Token ids of whole texts as little-endian bytes.
 
-    A blank between two characters that are no white space always starts a new pre-token, so the ids of a
-    text are those of its pieces, each with the blank before it.
+    The vocabulary comes from a byte-level BPE file of the ``tokenizers`` library. Its ids are also the ranks
+    of its merges, so ``tiktoken`` gives the same ids from it at several times the speed; texts that hold a
+    special token, which the file's own tokenizer treats apart, go to that tokenizer.
     """
 
     def __init__(self, path):
-        import re
-
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.blank_runs = re.compile(r"\s | \s|^ ")
-        self.cut = re.compile(r"(?<=\S) (?=\S)").split
-        self.pieces, self.pre_tokens = {}, {}
-
-    def _of_pre_token(self, token):
-        if len(self.pre_tokens) >= MAX_CACHED:
-            self.pre_tokens.clear()
-        ids = [t.id for t in self.tokenizer.model.tokenize(token)]
-        found = self.pre_tokens[token] = np.array(ids, "<u4").tobytes()
-        return found
-
-    def _of_piece(self, piece):
-        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)
-        get = self.pre_tokens.get
-        found = b"".join([get(t) or self._of_pre_token(t) for t, _ in cut])
-        if len(self.pieces) >= MAX_CACHED:
-            self.pieces.clear()
-        self.pieces[piece] = found
-        return found
+        with open(path, encoding="utf-8") as file:
+            content = file.read()
+        tokenizer = json.loads(content)
+        self.special = [t["content"] for t in tokenizer["added_tokens"]]
+        self.original = Tokenizer.from_str(content)
+        byte_of = byte_alphabet()
+        ranks = {
+            bytes(map(byte_of.__getitem__, token)): rank
+            for token, rank in tokenizer["model"]["vocab"].items() if token not in self.special
+        }
+        self.fast = tiktoken.Encoding("bpe", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text):
         if not text:
             return b""
         if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = self.cut(text) if self.blank_runs.search(text) else text.split(" ")
-        get, new = self.pieces.get, self._of_piece
-        head = get(pieces[0]) or new(pieces[0])
-        rest = [get(p) or new(p) for p in [" " + p for p in pieces[1:]]]
-        return b"".join([head, *rest])
+            return np.array(self.original.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+
+
+def byte_alphabet():
+    """The byte behind each character of a byte-level vocabulary: printable Latin-1 characters stand for
+    themselves, the other bytes for the characters from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
 _loaded = {}
 
 
-def word_tokens(path):
-    """The tokenizer of this worker; its memory outlives a task."""
+def tokens_of(path):
+    """The tokenizer of this worker."""
     if path not in _loaded:
-        _loaded[path] = WordTokens(path)
+        _loaded[path] = Tokens(path)
     return _loaded[path]
 
 
@@ -83,7 +78,7 @@ def _cutter(path, limit, end_id):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        ids_of = word_tokens(path)
+        ids_of = tokens_of(path)
         for batch in batches:
             docs, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column("_text").to_pylist()):
