@@ -5,6 +5,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lurewatch.llm.graph import connected_components
@@ -12,7 +13,7 @@ from lurewatch.llm.words import gram_hashes, mixed, space_words, word_hashes
 from lurewatch.session import materialise
 
 UNIVERSE_BITS = 20
-BLOCK = 4096
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -94,15 +95,24 @@ def signatures(docs, ids="doc_id", text="text", config=NearConfig()):
     )
 
 
+def _similar(a, b, config):
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= config.percent * (len(a) + len(b) - common)
+
+
+def _set_pairs(batch, config):
+    """The whole shingle sets of each row's two texts; rows come sorted by the second."""
+    last, other = None, None
+    for x, p in zip(batch.column("_x_text").to_pylist(), batch.column("_p_text").to_pylist()):
+        if p != last:
+            last, other = p, shingle_set(p, config.shingle)
+        yield shingle_set(x, config.shingle), other
+
+
 def _verifier(config):
     def run(batches):
         for batch in batches:
-            linked = []
-            for x, p in zip(batch.column("_x_text").to_pylist(), batch.column("_p_text").to_pylist()):
-                a, b = shingle_set(x, config.shingle), shingle_set(p, config.shingle)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                linked.append(100 * common >= config.percent * (len(a) + len(b) - common))
-            mask = pa.array(linked, pa.bool_())
+            mask = pa.array([_similar(a, b, config) for a, b in _set_pairs(batch, config)], pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("u").filter(mask), batch.column("v").filter(mask)], ["u", "v"]
             )
@@ -110,11 +120,33 @@ def _verifier(config):
     return run
 
 
-def _verified(pairs, texts, config):
-    """The pairs (u, v) whose whole shingle sets are similar enough. Both joins can split a hot document."""
+def _differ(config):
+    """(u, v, _n, _pn, _linked, _diff) of pairs (u, v): ``_diff`` is what one of the two sets has and not the other."""
+
+    def run(batches):
+        for batch in batches:
+            sizes, others, linked, diffs = [], [], [], []
+            for a, b in _set_pairs(batch, config):
+                sizes.append(len(a)), others.append(len(b)), linked.append(_similar(a, b, config))
+                diffs.append(np.setxor1d(a, b, assume_unique=True).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("u"), batch.column("v"), pa.array(sizes, pa.int64()), pa.array(others, pa.int64()),
+                 pa.array(linked, pa.bool_()), pa.array(diffs, pa.list_(pa.int64()))],
+                ["u", "v", "_n", "_pn", "_linked", "_diff"])
+
+    return run
+
+
+def _with_texts(pairs, texts):
+    """Pairs (u, v) with both texts. Both joins can split a hot document."""
     with_x = pairs.join(texts.select(F.col("_id").alias("u"), F.col("_text").alias("_x_text")), "u")
     with_p = with_x.join(texts.select(F.col("_id").alias("v"), F.col("_text").alias("_p_text")), "v")
-    return with_p.select("u", "v", "_x_text", "_p_text").mapInArrow(_verifier(config), "u bigint, v bigint")
+    return with_p.select("u", "v", "_x_text", "_p_text")
+
+
+def _verified(pairs, texts, config):
+    """The pairs (u, v) whose whole shingle sets are similar enough."""
+    return _with_texts(pairs, texts).mapInArrow(_verifier(config), "u bigint, v bigint")
 
 
 def _comparable(a, b, config):
@@ -136,9 +168,11 @@ def near_components(docs, ids="doc_id", text="text", config=NearConfig()):
        pre-aggregated minimum and maximum, so a bucket of any size is a single row.
     3. Each vertex is compared with one pivot, the vertex of its buckets with the fullest buckets, which in a
        large group of near copies is close to what they were copied from. Components follow.
-    4. Pairs of a bucket that are not yet in one component are all compared: those outside the bucket's
-       largest component with every member of another component. So no candidate pair is left out, and a
-       group that step 3 has connected costs nothing more.
+    4. Buckets that share vertices form groups. In a group with more than one component, vertices are described
+       by how they differ from one pivot of the group. Two similar vertices that are not both linked with that
+       pivot must share a known number of differences, so they share one of the rarest few (``_open_pairs``).
+       Only such pairs are compared. No candidate pair is left out, and what all members of a group have in
+       common does not pair them.
     """
     signed = materialise(signatures(docs, ids, text, config), "signed")
     held = signed.filter("_id is not null and n_shingles > 0")
@@ -156,10 +190,11 @@ def near_components(docs, ids="doc_id", text="text", config=NearConfig()):
         docs.select(F.col(ids).cast("bigint").alias("_id"), F.col(text).alias("_text"))
         .join(candidates, "_id", "left_semi"), "candidate-texts")
 
-    edges = _verified(_pivot_pairs(met, config), texts, config)
-    edges = materialise(edges, "near-links")
-    rest = _verified(_open_pairs(met, connected_components(edges), config), texts, config)
-    edges = edges.unionByName(materialise(rest, "near-links"))
+    sizes, pivots, pairs = _pivots(met, config)
+    edges = materialise(_verified(pairs, texts, config), "near-links")
+    groups = connected_components(pivots.select("u", "v"))
+    links, rest = _open_pairs(sizes, groups, connected_components(edges), texts, config)
+    edges = edges.unionByName(links).unionByName(materialise(_verified(rest, texts, config), "near-links"))
 
     roots = connected_components(edges).select(F.col("vertex").alias("_vertex"), "root")
     named = vertices.join(roots, "_vertex", "left").select("_set", F.coalesce("root", "_vertex").alias("_root"))
@@ -170,42 +205,84 @@ def near_components(docs, ids="doc_id", text="text", config=NearConfig()):
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _pivot_pairs(met, config):
-    """(u, v): every vertex with the most popular other vertex of its buckets, if their sizes allow a link."""
+def _pivots(met, config):
+    """(vertices, bucket pivots, pairs to compare).
+
+    ``vertices``: (_id, _n, _popular), where the popularity of a vertex is the number of vertices in its
+    buckets. ``bucket pivots``: (u, v) of each vertex and the most popular vertex of each of its buckets.
+    ``pairs``: each vertex with the most popular of those, if their sizes allow a link.
+    """
     sizes = materialise(met.groupBy("_band").agg(F.count(F.lit(1)).alias("_size")), "bucket-sizes")
-    sized = met.join(sizes, "_band")
-    popular = sized.groupBy("_id").agg(F.sum("_size").alias("_popular"))
-    ranked = materialise(met.join(popular, "_id"), "ranked")
+    popular = met.join(sizes, "_band").groupBy("_id").agg(F.max("_n").alias("_n"), F.sum("_size").alias("_popular"))
+    popular = materialise(popular, "popular")
+    ranked = materialise(met.select("_band", "_id").join(popular, "_id"), "ranked")
     best = F.max(F.struct("_popular", (-F.col("_id")).alias("_id"), F.col("_n").alias("_pn")))
-    pivots = materialise(ranked.groupBy("_band").agg(best.alias("_p")), "pivots")
-    pairs = (
-        ranked.select("_band", "_id", "_n").join(pivots, "_band")
-        .filter((F.col("_id") != -F.col("_p._id")) & _comparable(F.col("_n"), F.col("_p._pn"), config))
-        .groupBy("_id").agg(F.max("_p").alias("_p"))
-    )
-    return materialise(pairs.select(F.col("_id").alias("u"), (-F.col("_p._id")).alias("v")), "pivot-pairs")
-
-
-def _open_pairs(met, components, config):
-    """(u, v), each once: pairs in one bucket but not in one component, if their sizes allow a link."""
-    placed = met.join(components.withColumnRenamed("vertex", "_id"), "_id", "left").select(
-        "_band", "_id", "_n", F.coalesce("root", "_id").alias("_root"))
+    tops = materialise(ranked.groupBy("_band").agg(best.alias("_p")), "tops")
+    near = ranked.join(tops, "_band").select(
+        F.col("_id").alias("u"), (-F.col("_p._id")).alias("v"), "_n", F.col("_p._pn").alias("_pn"), F.col("_p._popular").alias("_top"))
+    near = near.filter("u <> v").groupBy("u", "v").agg(*[F.max(c).alias(c) for c in ("_n", "_pn", "_top")])
+    near = materialise(near, "bucket-pivots")
+    pairs = near.filter(_comparable(F.col("_n"), F.col("_pn"), config)).groupBy("u").agg(
+        F.max(F.struct("_top", (-F.col("v")).alias("_v"))).alias("_p"))
+    return popular, near, materialise(pairs.select("u", (-F.col("_p._v")).alias("v")), "pivot-pairs")
+
+
+def _open_pairs(vertices, groups, components, texts, config):
+    """(links, pairs) of groups with more than one component: the vertices (u, v) that are linked with the
+    pivot v of their group, and each other pair once that may be similar and is not in one component.
+
+    ``vertices``: (_id, _n, _popular); ``groups`` and ``components``: (vertex, root).
+
+    Let p be the pivot of a group and D(x) the symmetric difference of the sets x and p. Two sets are similar
+    if they differ in at most k (|x| + |y|) shingles, with k = (1 - s) / (1 + s), and they differ in
+    |D(x)| + |D(y)| - 2 c shingles, where c is the number of common differences. Similar sets differ in at
+    most a(x) = |x| (1 - s) / s shingles, whence c >= |D(x)| - a(x), and the same for y. If x is not linked
+    with p, also c > (|D(y)| + k (|p| - |y|)) / 2. With all differences of a group in one order, rarest
+    first, two vertices with c common ones share one among the first |D| - c + 1 of either. Differences that
+    only one vertex has take up places there but pair nobody.
+    """
+    s = config.percent / 100
+    k = (1 - s) / (1 + s)
+    named = vertices.join(groups.select(F.col("vertex").alias("_id"), F.col("root").alias("_group")), "_id")
+    placed = named.join(components.select(F.col("vertex").alias("_id"), "root"), "_id", "left").select(
+        "_id", "_group", "_popular", F.coalesce("root", "_id").alias("_root"))
     placed = materialise(placed, "placed")
-    parts = placed.groupBy("_band", "_root").agg(F.count(F.lit(1)).alias("_size"))
-    largest = parts.groupBy("_band").agg(
-        F.max(F.struct("_size", "_root")).alias("_top"), F.count(F.lit(1)).alias("_parts")
-    ).filter("_parts > 1")
-    largest = materialise(largest.select("_band", F.col("_top._root").alias("_top")), "split-buckets")
-    rest = placed.join(largest, "_band")
-    rest = materialise(rest, "split-members")
-    others = rest.filter("_root <> _top").select(
-        "_band", F.col("_id").alias("u"), F.col("_n").alias("_un"), F.col("_root").alias("_u_root"))
-    pairs = rest.join(others, "_band").filter(
-        (F.col("_root") != F.col("_u_root")) & ((F.col("_root") == F.col("_top")) | (F.col("_id") < F.col("u")))
-        & _comparable(F.col("_n"), F.col("_un"), config)
-    )
-    return materialise(
-        pairs.select(F.greatest("u", "_id").alias("u"), F.least("u", "_id").alias("v")).distinct(), "open-pairs")
+    split = placed.groupBy("_group").agg(
+        F.max(F.struct("_popular", (-F.col("_id")).alias("_id"))).alias("_p"),
+        F.min("_root").alias("_low"), F.max("_root").alias("_high"),
+    ).filter("_low <> _high").select("_group", (-F.col("_p._id")).alias("v"))
+    members = placed.join(materialise(split, "split-groups"), "_group").filter("_id <> v")
+    members = materialise(members.select(F.col("_id").alias("u"), "v", "_root"), "split-members")
+    pairs = _with_texts(members.select("u", "v"), texts)
+    described = materialise(pairs.mapInArrow(
+        _differ(config), "u bigint, v bigint, _n bigint, _pn bigint, _linked boolean, _diff array<bigint>"), "differences")
+
+    each = described.select("u", "v", F.explode("_diff").alias("_e"))
+    shared = each.groupBy("v", "_e").agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1")
+    common = each.join(materialise(shared, "shared-differences"), ["v", "_e"])
+    own = Window.partitionBy("u")
+    common = common.select(
+        "u", "v", "_e", F.count(F.lit(1)).over(own).alias("_shared"),
+        F.row_number().over(own.orderBy("_times", "_e")).alias("_rank"))
+    facts = described.select("u", "_n", "_pn", "_linked", F.size("_diff").alias("_d")).join(members.select("u", "_root"), "u")
+    common = common.join(facts, "u")
+
+    # Rounding must not lose a pair: bounds give way by a little.
+    least = F.ceil(F.col("_d") - F.col("_n") * ((1 - s) / s) - 1e-6)
+    least_far = F.greatest(least, F.floor((F.col("_d") + k * (F.col("_pn") - F.col("_n"))) / 2 - 1e-6) + 1, F.lit(1))
+    place = F.col("_d") - F.col("_shared") + F.col("_rank")
+    ranked = materialise(common.select(
+        "u", "v", "_e", "_n", "_root",
+        (~F.col("_linked") & (place <= F.col("_d") - F.greatest(least, F.lit(1)) + 1)).alias("_as_far"),
+        (place <= F.col("_d") - least_far + 1).alias("_as_any"),
+    ).filter("_as_far or _as_any"), "rare-differences")
+    far = ranked.filter("_as_far")
+    others = ranked.filter("_as_any").select(
+        "v", "_e", F.col("u").alias("_w"), F.col("_n").alias("_wn"), F.col("_root").alias("_w_root"))
+    found = far.join(others, ["v", "_e"]).filter(
+        (F.col("_root") != F.col("_w_root")) & _comparable(F.col("_n"), F.col("_wn"), config))
+    pairs = found.select(F.greatest("u", "_w").alias("u"), F.least("u", "_w").alias("v")).distinct()
+    return described.filter("_linked").select("u", "v"), materialise(pairs, "open-pairs")
 
 
 def drop_near_copies(docs, ids="doc_id", text="text", config=NearConfig()):
