@@ -7,7 +7,6 @@ import xxhash
 ALNUM_TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
-MAX_CACHED = 500_000
 
 
 def alnum_words(text):
@@ -20,21 +19,8 @@ def space_words(text):
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-class HashOf(dict):
-    """Word to 64-bit hash; holds at most ``MAX_CACHED`` words and then starts anew."""
-
-    def __missing__(self, word):
-        if len(self) >= MAX_CACHED:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_hash_of = HashOf()
-
-
 def word_hashes(words):
-    return np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(x):
