@@ -7,9 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import functions as F
 
+from lurewatch.llm.words import BASE, mixed
+
 UNKNOWN = "und"
 _letters = re.compile(r"[^\W\d_]+").findall
 MAX_CACHED = 400_000
@@ -81,8 +82,22 @@ def kneser_ney(words, order):
     return model
 
 
-def _key(gram):
-    return xxhash.xxh64_intdigest(gram.encode("utf-8", "surrogatepass"))
+def gram_keys(codes, order):
+    """[keys of the 1-grams, ..., keys of the ``order``-grams] that end at each place of an array of code points.
+
+    A gram that would begin before the array has a meaningless key; callers know which places those are.
+    """
+    codes = codes.astype(np.uint64) + np.uint64(1)
+    keys, sums, power = [], np.zeros(len(codes), np.uint64), 1
+    for n in range(1, order + 1):
+        sums[n - 1 :] += codes[: len(codes) - n + 1] * np.uint64(power)
+        power = power * BASE % 2**64
+        keys.append(mixed(sums + np.uint64(n * 0x51ED270B)))
+    return keys
+
+
+def _codes(text):
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 class LanguageModels:
@@ -95,63 +110,86 @@ class LanguageModels:
     def __init__(self, languages, hashes, probability, weight, limits=None):
         self.languages, self.hashes, self.probability, self.weight = languages, hashes, probability, weight
         self.limits = limits
-        self._scores = {}
+        self.forget()
+
+    def forget(self):
+        """Drop the remembered words."""
+        self._places = {}
+        self._known = np.empty((1024, len(self.languages) + 1))
 
     @classmethod
     def fit(cls, words_of, order):
         languages = sorted(words_of)
         models = [kneser_ney(words_of[name], order) for name in languages]
-        grams = sorted({g for m in models for g in m}, key=_key)
+        grams = sorted({g for m in models for g in m})
+        hashes = np.array([gram_keys(_codes(g), len(g))[-1][-1] for g in grams], np.uint64)
+        by_hash = np.argsort(hashes, kind="stable")
+        grams = [grams[i] for i in by_hash]
         probability = np.array([[m.get(g, (0.0, 1.0))[0] for m in models] for g in grams], np.float32)
         weight = np.array([[m.get(g, (0.0, 1.0))[1] for m in models] for g in grams], np.float32)
         shape = (len(grams), len(languages))
-        hashes = np.array([_key(g) for g in grams], np.uint64)
-        return cls(languages, hashes, probability.reshape(shape), weight.reshape(shape))
-
-    def _rows(self, grams):
-        """Places of the grams in the sorted arrays, and whether they are there."""
-        keys = np.fromiter(map(_key, grams), np.uint64, len(grams))
-        at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
-        return at, (self.hashes[at] == keys)[:, None]
+        return cls(languages, hashes[by_hash], probability.reshape(shape), weight.reshape(shape))
 
     def _score_words(self, words, order):
-        """Negative log2 probability of each word in each language, borders included."""
-        marked = [f" {w} " for w in words]
-        owner = np.repeat(np.arange(len(words)), [len(m) - 1 for m in marked])
-        p = np.full((len(owner), len(self.languages)), UNSEEN)
-        for n in range(1, order + 1):
-            grams = [m[max(0, i + 1 - n) : i + 1] for m in marked for i in range(1, len(m))]
-            at, there = self._rows(grams)
-            full = np.fromiter(map(len, grams), np.int64, len(grams))[:, None] == n
-            seen = np.where(there, self.probability[at], 0.0)
+        """Negative log2 probability of each word in each language, borders included.
+
+        All words stand in one array with a border mark between them. Every character but the first mark is
+        predicted from those before it, back to the mark that begins its word.
+        """
+        codes = _codes(f" {' '.join(words)} ")
+        marks = np.flatnonzero(codes == 32)
+        places = np.arange(len(codes))
+        begin = marks[np.maximum(np.searchsorted(marks, places) - 1, 0)]
+        p = lower = None
+        for n, keys in enumerate(gram_keys(codes, order), 1):
+            at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
+            there = self.hashes[at] == keys
+            seen = np.where(there[:, None], self.probability[at], 0.0)
             if n == 1:
                 p = np.where(seen > 0, seen, UNSEEN)
-                continue
-            context, known = self._rows([g[:-1] for g in grams])
-            backed_off = np.where(known, self.weight[context], 1.0) * p
-            p = np.where(full, np.where(seen > 0, seen, backed_off), p)
-        cost = np.zeros((len(words), len(self.languages)))
-        np.add.at(cost, owner, -np.log2(np.maximum(p, 1e-12)))
-        return cost
+            else:
+                context, known = np.roll(lower[0], 1), np.roll(lower[1], 1)
+                backed_off = np.where(known[:, None], self.weight[context], 1.0) * p
+                full = (places - begin >= n - 1)[:, None]
+                p = np.where(full, np.where(seen > 0, seen, backed_off), p)
+            lower = at, there
+        return np.add.reduceat(-np.log2(np.maximum(p[1:], 1e-12)), marks[:-1], axis=0)
+
+    def _learn(self, words, order):
+        """Remember the scores and lengths of new words."""
+        if len(self._places) + len(words) > MAX_CACHED:
+            self.forget()
+        n = len(self._places)
+        if n + len(words) > len(self._known):
+            grown = np.empty((2 * (n + len(words)), self._known.shape[1]))
+            grown[:n] = self._known[:n]
+            self._known = grown
+        for i in range(0, len(words), 50_000):
+            part = words[i : i + 50_000]
+            rows = self._known[n + i : n + i + len(part)]
+            rows[:, :-1] = self._score_words(part, order)
+            rows[:, -1] = [len(w) + 1 for w in part]
+        self._places.update(zip(words, range(n, n + len(words))))
 
     def cross_entropy(self, texts, order):
         """(bits per character in each language, number of characters) of each text; no letters: NaN, 0."""
-        counted = [Counter(letter_runs(t)) for t in texts]
-        new = list({w for c in counted for w in c if w not in self._scores})
-        if len(self._scores) + len(new) > MAX_CACHED:
-            self._scores.clear()
-            new = list({w for c in counted for w in c})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self._scores.update(zip(part, self._score_words(part, order)))
-        bits = np.full((len(texts), len(self.languages)), np.nan)
-        size = np.zeros(len(texts), np.int64)
-        get = self._scores.__getitem__
-        for i, words in enumerate(counted):
-            if words:
-                times = np.fromiter(words.values(), np.float64, len(words))
-                size[i] = sum((len(w) + 1) * c for w, c in words.items())
-                bits[i] = times @ np.array(list(map(get, words))) / size[i]
+        bits, size = np.full((len(texts), len(self.languages)), np.nan), np.zeros(len(texts), np.int64)
+        for first in range(0, len(texts), 200):
+            counted = [Counter(letter_runs(t)) for t in texts[first : first + 200]]
+            every = set().union(*counted)
+            new = sorted(every - self._places.keys())
+            if new:
+                held = len(self._places)
+                self._learn(new, order)
+                if len(self._places) < held + len(new):
+                    self._learn(sorted(every - self._places.keys()), order)
+            place = self._places.__getitem__
+            for i, words in enumerate(counted, first):
+                if words:
+                    times = np.fromiter(words.values(), np.float64, len(words))
+                    sums = times @ self._known[np.fromiter(map(place, words), np.int64, len(words))]
+                    size[i] = round(sums[-1])
+                    bits[i] = sums[:-1] / sums[-1]
         return bits, size
 
     def calibrate(self, texts, names, order, slack):
@@ -234,7 +272,7 @@ def train(docs, ids="doc_id", text="text", lang="lang", config=LanguageConfig())
     rows = sample.filter(held).select("lang", "text").toArrow()
     if models.languages:
         models.calibrate(rows.column("text").to_pylist(), rows.column("lang").to_pylist(), config.order, config.slack)
-    models._scores = {}
+    models.forget()
     return models
 
 
