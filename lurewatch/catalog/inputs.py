@@ -6,7 +6,7 @@ same rows; what is checked is computed separately.
 
 from pyspark.sql import functions as F
 
-from lurewatch.session import spread
+from lurewatch.session import input_partitions
 
 NOW = 1_700_000_000.0
 
@@ -67,9 +67,9 @@ TEXT_TABLES = ("documents", "pages")
 
 
 def table(spark, sf, name):
-    """A given table; those whose rows are costly to work on are spread over all cores."""
+    """A given table; those whose rows are costly to work on are dealt out as the session asks."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return input_partitions(df) if name in TEXT_TABLES else df
 
 
 def url_forms(spark, sf):

@@ -129,9 +129,9 @@ def features(*names, source="forms", ids=("page_id", "form")):
     SELECT {', '.join(ids)}, {', '.join(column(n) for n in names)} FROM named"""
 
 
-ORACLES["url_split"] = f"WITH {SPLIT} SELECT page_id, form, scheme, netloc, path FROM parts WHERE url IS NOT NULL"
+ORACLES["url_split"] = f"WITH {SPLIT} SELECT page_id, form, scheme, netloc, path FROM parts"
 ORACLES["url_domain_parts"] = f"""
-WITH {HOSTS} SELECT page_id, form, subdomain, domain, suffix FROM hosts WHERE url IS NOT NULL"""
+WITH {HOSTS} SELECT page_id, form, subdomain, domain, CASE WHEN url IS NOT NULL THEN suffix END AS suffix FROM hosts"""
 ORACLES["url_domain_parts_joined"] = ORACLES["url_domain_parts"]
 ORACLES["url_features"] = features(*K.URL_FEATURES)
 ORACLES["url_char_counts"] = features(*K.COUNTED_CHARS, "num_digits")
@@ -252,7 +252,7 @@ FROM weighted"""
 ORACLES["tfidf_joined"] = ORACLES["tfidf_l2"]
 ORACLES["tfidf_transform"] = f"""
 WITH {TERMS}, even AS (SELECT * FROM terms WHERE doc_id % 2 = 0),
-{VOCABULARY.format(source='even', k=1000)},
+{VOCABULARY.format(source='even', k=K.MAX_FEATURES)},
 odd AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM terms WHERE doc_id % 2 = 1)
         GROUP BY ALL),
 {_WEIGHTED.format(counts='odd')}
@@ -398,9 +398,9 @@ ORACLES["fuse_scores_weighted"] = fusion_sql((0.7, 0.2), (0.25, 0.75))
 ORACLES["fusion_rejects"] = f"""
 WITH {I.order_scores_sql(I.BAD_SCORE1, I.BAD_SCORE2)}
 SELECT * FROM (SELECT id,
-  CASE WHEN tier1_score IS NULL AND tier2_score IS NULL THEN 'At least one tier result must be provided'
-       WHEN tier1_score > 1 THEN 'Tier 1 score must be 0-1, got 1.25'
-       WHEN isnan(tier2_score) THEN 'Tier 2 score must be 0-1, got NaN' END AS reject_reason FROM tiers)
+  CASE WHEN tier1_score IS NULL AND tier2_score IS NULL THEN 'no tier has a score'
+       WHEN tier1_score > 1 THEN 'Tier 1 score lies outside 0 to 1: 1.25'
+       WHEN isnan(tier2_score) THEN 'Tier 2 score lies outside 0 to 1: NaN' END AS reject_reason FROM tiers)
 WHERE reject_reason IS NOT NULL"""
 ORACLES["risk_levels"] = f"""
 WITH {I.order_scores_sql()}, {fused((1.0, 1.0), (0.3, 0.7))}
@@ -414,7 +414,7 @@ ORACLES["route_inputs"] = f"""
 WITH {I.MESSAGES_SQL}
 SELECT msg_id, coalesce(url, '') <> '' AS run_tier1, coalesce(text, '') <> '' AS run_tier2,
        CASE WHEN coalesce(url, '') = '' AND coalesce(text, '') = ''
-            THEN 'At least one of ''url'' or ''text'' must be provided' END AS reject_reason
+            THEN 'the message has neither a url nor a text' END AS reject_reason
 FROM messages"""
 
 KEY = (
@@ -549,4 +549,36 @@ ORACLES["stream_capture"] = f"""
 WITH {I.MAIL_SQL} SELECT event_id, type, email, name, content, session_id FROM mail WHERE type = 'OPENED_EMAIL'"""
 ORACLES["stream_score"] = f"""
 WITH {I.MAIL_SQL} SELECT event_id AS msg_id, nullif(regexp_extract(content, 'https?://[^\\s<>"'']+'), '') AS url,
-true AS has_tier1, true AS has_result FROM mail WHERE type = 'OPENED_EMAIL' AND content IS NOT NULL"""
+content IS NOT NULL AS has_tier1, content IS NOT NULL AS has_result,
+CASE WHEN content IS NULL THEN 'the message has neither a url nor a text' END AS reject_reason
+FROM mail WHERE type = 'OPENED_EMAIL'"""
+ORACLES["message_outcomes"] = f"""
+WITH {ROUTED.replace(I.MESSAGES_SQL, I.MESSAGES_SQL + ", given AS (SELECT * FROM messages)")}
+SELECT msg_id, result, CAST(NULL AS VARCHAR) AS reject_reason FROM verdicts
+UNION ALL SELECT msg_id, NULL, 'the message has neither a url nor a text' FROM given
+WHERE coalesce(url, '') = '' AND coalesce(text, '') = ''"""
+ORACLES["skip_cache"] = f"""
+WITH {ROUTED} SELECT msg_id, verdict AS result, false AS cache_hit FROM answered"""
+
+# -- models: what SQL can state of them ------------------------------------------------------------
+
+_SUPPORTS = """
+SELECT "row", support, true AS in_range FROM (
+  SELECT 'Benign' AS "row", count(*) FILTER (WHERE label = 0) AS support FROM tested
+  UNION ALL SELECT 'Phishing', count(*) FILTER (WHERE label = 1) FROM tested
+  UNION ALL SELECT x, count(*) FROM tested, (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) v(x) GROUP BY x)"""
+ORACLES["train_text_model"] = f"""
+WITH {SPLIT_ROWS}, tested AS (SELECT label FROM split WHERE is_test) {_SUPPORTS}"""
+_URL_ROWS = f"labelled_docs AS (SELECT page_id AS doc_id, url AS text, CAST({_SPAM} AS INTEGER) AS label FROM pages)"
+_URL_SPLIT = SPLIT_ROWS.replace(LABELLED, _URL_ROWS)
+ORACLES["train_url_model"] = f"""
+WITH {_URL_SPLIT}, tested AS (SELECT label FROM split WHERE is_test) {_SUPPORTS}"""
+ORACLES["score_url"] = f"WITH {FORMS} SELECT page_id, form, true AS consistent FROM forms"
+ORACLES["score_text"] = """
+SELECT doc_id, true AS consistent, CAST(length(coalesce(text, '')) AS INTEGER) AS text_length FROM documents"""
+ORACLES["early_stopping"] = "SELECT i::INTEGER AS n_trees, true AS in_range FROM range(1, 6) t(i)"
+ORACLES["feature_importance"] = "SELECT 10::BIGINT AS n_features, true AS sorted"
+ORACLES["cv_auc"] = "SELECT 5::BIGINT AS n_folds, true AS in_range, true AS as_by_library"
+ORACLES["analyze"] = f"""
+WITH {I.MESSAGES_SQL} SELECT msg_id, true AS has_result, true AS consistent FROM messages
+WHERE coalesce(url, '') <> '' OR coalesce(text, '') <> ''"""

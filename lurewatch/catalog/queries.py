@@ -2,6 +2,7 @@
 
 import threading
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from lurewatch import constants as K
@@ -108,12 +109,12 @@ def model_metadata_row(spark, sf):
 
 @query
 def url_split(spark, sf):
-    return UO.split_urls(I.url_forms(spark, sf).filter("url IS NOT NULL")).drop("url")
+    return UO.split_urls(I.url_forms(spark, sf)).drop("url")
 
 
 @query
 def url_domain_parts(spark, sf):
-    rows = UO.with_host_parts(I.url_forms(spark, sf).filter("url IS NOT NULL"))
+    rows = UO.with_host_parts(I.url_forms(spark, sf))
     return rows.select("page_id", "form", "host_parts.*")
 
 
@@ -121,8 +122,7 @@ def url_domain_parts(spark, sf):
 def url_domain_parts_joined(spark, sf):
     """The same with the rules as a table that is joined, as for rule tables of any size."""
     rules = spark.createDataFrame([(r,) for r in K.DEFAULT_SUFFIXES], "rule string")
-    forms = I.url_forms(spark, sf).filter("url IS NOT NULL")
-    return UO.with_host_parts(forms, suffixes=rules, max_rule_rows=0).select("page_id", "form", "host_parts.*")
+    return UO.with_host_parts(I.url_forms(spark, sf), suffixes=rules).select("page_id", "form", "host_parts.*")
 
 
 @query
@@ -265,7 +265,7 @@ def tfidf_joined(spark, sf):
 def tfidf_transform(spark, sf):
     """A vocabulary of the even documents applied to the odd ones."""
     docs = I.table(spark, sf, "documents").select("doc_id", "text")
-    vectorizer = X.TextVectorizer.fit(docs.filter("doc_id % 2 = 0"), config=X.TextConfig(max_features=1000))
+    vectorizer = X.TextVectorizer.fit(docs.filter("doc_id % 2 = 0"))
     return vectorizer.long_form(docs.filter("doc_id % 2 = 1")).select("doc_id", "term", *rounded("tfidf"))
 
 
@@ -286,14 +286,26 @@ def _text_training(spark, sf):
 
 @query
 def train_url_model(spark, sf):
-    report = _url_training(spark, sf)
-    return report.report.crossJoin(F.broadcast(report.auc))  # one row of metrics
+    """Supports of the test report; whether all its metrics and the AUC lie in 0 to 1."""
+    return _checked_report(_url_training(spark, sf))
 
 
 @query
 def train_text_model(spark, sf):
-    report = _text_training(spark, sf)
-    return report.report.crossJoin(F.broadcast(report.auc))  # one row of metrics
+    return _checked_report(_text_training(spark, sf))
+
+
+def _checked_report(report):
+    inside = F.lit(True)
+    for name in ("precision", "recall", "f1", "auc"):
+        inside = inside & _in_range(name)
+    rows = report.report.crossJoin(F.broadcast(report.auc))  # one row
+    return rows.select("row", "support", inside.alias("in_range"))
+
+
+def _in_range(name):
+    """A metric is not outside 0 to 1; without rows of both classes it may be undefined."""
+    return F.coalesce(F.col(name).between(0, 1), F.lit(True))
 
 
 def _featured_urls(spark, sf):
@@ -303,39 +315,52 @@ def _featured_urls(spark, sf):
 
 @query
 def early_stopping(spark, sf):
-    """Validation AUC after each tree."""
+    """One row per tree; whether its validation AUC lies in 0 to 1."""
     rows = SA.stratified_split(_featured_urls(spark, sf), ids="page_id")
     rows = materialise(rows, "stages")
     model = G.booster(**SMALL).fit(rows.filter(~F.col("is_test")))
-    return G.auc_by_tree(model, rows.filter("is_test"))
+    stages = G.auc_by_tree(model, rows.filter("is_test"))
+    return stages.select("n_trees", _in_range("auc").alias("in_range"))
 
 
 @query
 def cv_auc(spark, sf):
+    """Folds of a cross-validation, their AUCs in 0 to 1, and the AUC of one fold as the library's evaluator has it."""
     rows = materialise(SA.assign_folds(_featured_urls(spark, sf), ids="page_id"), "folds")
-    return G.cv_summary(G.cross_validate(rows, 3, maxDepth=3))
+    folds = materialise(G.cross_validate(rows, 3, maxDepth=3), "fold-auc")
+    model = G.booster(maxIter=3, maxDepth=3).fit(rows.filter("fold <> 0"))
+    scored = model.transform(rows.filter("fold = 0"))
+    evaluator = BinaryClassificationEvaluator(rawPredictionCol=G.RAW, labelCol="label", numBins=0)
+    same = F.abs(F.max(F.when(F.col("fold") == 0, F.col("auc"))) - evaluator.evaluate(scored)) < 1e-9
+    return folds.agg(F.count(F.lit(1)).alias("n_folds"), F.bool_and(_in_range("auc")).alias("in_range"), F.coalesce(same, F.lit(True)).alias("as_by_library"))
 
 
 @query
 def feature_importance(spark, sf):
-    return _url_training(spark, sf).importance
+    """The heaviest features of the trained url model: how many, and whether heaviest first."""
+    rows = _url_training(spark, sf).importance.agg(F.collect_list("importance").alias("w"))  # ten numbers
+    return rows.select(F.size("w").cast("bigint").alias("n_features"), (F.col("w") == F.sort_array("w", asc=False)).alias("sorted"))
 
 
 @query
 def score_url(spark, sf):
-    rows = _url_training(spark, sf).detector.score(I.table(spark, sf, "pages").select("page_id", "url"))
-    r = F.col("tier1_result")
-    return rows.select("page_id", r["score"].alias("score"), r["label"].alias("label"),
-                       r["confidence"].alias("confidence"), r["escalate"].alias("escalate"))
+    """Every form of every url, missing and malformed ones too; whether score, label, confidence agree."""
+    rows = _url_training(spark, sf).detector.score(I.url_forms(spark, sf))
+    return rows.select("page_id", "form", _consistent("tier1_result"))
+
+
+def _consistent(result):
+    r = F.col(result)
+    sure = F.abs(r["score"] - 0.5) >= 0.5 - (1 - r["metadata"]["threshold"])
+    right = r["score"].between(0, 1) & (r["label"] == D.label(r["score"])) & (r["escalate"] == (r["confidence"] == "low"))
+    return F.coalesce(right & sure.isNotNull(), F.lit(False)).alias("consistent")
 
 
 @query
 def score_text(spark, sf):
     rows = _text_training(spark, sf).detector.score(I.table(spark, sf, "documents").select("doc_id", "text"))
-    r = F.col("tier2_result")
-    return rows.select("doc_id", r["score"].alias("score"), r["label"].alias("label"),
-                       r["confidence"].alias("confidence"), r["escalate"].alias("escalate"),
-                       r["metadata"]["text_length"].alias("text_length"))
+    length = F.col("tier2_result")["metadata"]["text_length"]
+    return rows.select("doc_id", _consistent("tier2_result"), length.alias("text_length"))
 
 
 @query
@@ -604,8 +629,30 @@ def analyze(spark, sf):
         store=VerdictStore(spark, scratch_path(spark, "verdicts")),
     )
     verdicts = analyzer.analyze(I.messages(spark, sf), now=I.NOW)
-    return verdicts.select("msg_id", "result", "risk_level", "confidence", "reasoning", "tier_used",
-                           F.col("details.fusion_result.score").alias("score"))
+    known = F.col("result").isin(K.PHISHING, K.BENIGN, K.SAFE)
+    same = F.col("details.fusion_result.score").between(0, 1) & (
+        (F.col("tier_used") == "3") == F.col("details.tier3_result").isNotNull())
+    return verdicts.select("msg_id", F.coalesce(known, F.lit(False)).alias("has_result"), F.coalesce(same, F.lit(False)).alias("consistent"))
+
+
+@query
+def message_outcomes(spark, sf):
+    """Every message once: with its verdict, or with the reason why it has none."""
+    verdicts, rejects = _analyzer_with_given_scores().analyze_all(I.messages(spark, sf), now=I.NOW)
+    none = F.lit(None).cast("string")
+    return verdicts.select("msg_id", "result", none.alias("reject_reason")).unionByName(
+        rejects.select("msg_id", none.alias("result"), "reject_reason"))
+
+
+@query
+def skip_cache(spark, sf):
+    """A second run that leaves the cache aside: every expert row is asked for again."""
+    analyzer = _analyzer_with_given_scores(VerdictStore(spark, scratch_path(spark, "verdicts")))
+    messages = I.messages(spark, sf)
+    analyzer.analyze(messages, now=I.NOW)
+    second = analyzer.analyze(messages, now=I.NOW + 3600, skip_cache=True)
+    hit = F.col("details.tier3_result.metadata.cache_hit")
+    return second.filter("tier_used = '3'").select("msg_id", "result", hit.alias("cache_hit"))
 
 
 # -- expert and cache ------------------------------------------------------------------------------
@@ -764,11 +811,18 @@ def mail_opens(spark, sf):
 
 @query
 def mail_opens_stream(spark, sf):
-    changes = SM.drop_repeats(M.opened_mail(_mail_stream(spark, sf)))
+    """Events that arrive in three files, one micro-batch each, with a restart after every one."""
     path = scratch_path(spark, "opens")
-    sink = changes.select("event_id", "session_id", "mail_id").writeStream.format("parquet")
-    sink = sink.option("checkpointLocation", f"{path}/progress").trigger(availableNow=True)
-    SM.run_to_end(sink.start(f"{path}/out"))
+    events = I.table(spark, sf, "events")
+    cuts = events.select(F.percentile_approx(F.col("ts").cast("timestamp").cast("double"), [0.33, 0.67]).alias("c")).first()["c"]
+    part = sum((F.col("ts").cast("timestamp").cast("double") > c).cast("int") for c in cuts)
+    for i in range(3):
+        events.filter(part == i).coalesce(1).write.mode("append").parquet(f"{path}/events")
+        stream = SM.read_events(spark, f"{path}/events", events.schema, format="parquet", max_files_per_trigger=1)
+        changes = SM.drop_repeats(M.opened_mail(I.mail_events(stream)))
+        sink = changes.select("event_id", "session_id", "mail_id").writeStream.format("parquet")
+        sink = sink.option("checkpointLocation", f"{path}/progress").trigger(availableNow=True)
+        SM.run_to_end(sink.start(f"{path}/out"))
     return spark.read.parquet(f"{path}/out")
 
 
@@ -815,9 +869,11 @@ def stream_score(spark, sf):
     path = scratch_path(spark, "scores")
     stream = SM.read_events(spark, captured, schema, format="parquet")
     SM.run_to_end(SM.write_scores(stream, analyzer, f"{path}/out", f"{path}/progress", now=I.NOW))
-    scored = spark.read.parquet(f"{path}/out")
-    return scored.select("msg_id", "url", F.col("details.tier1_result").isNotNull().alias("has_tier1"),
-                         F.col("result").isin(K.PHISHING, K.BENIGN, K.SAFE).alias("has_result"))
+    scored, refused = spark.read.parquet(f"{path}/out/verdicts"), spark.read.parquet(f"{path}/out/rejects")
+    tiers = F.col("details.tier1_result").isNotNull() | F.col("details.tier2_result").isNotNull()
+    known = F.col("result").isin(K.PHISHING, K.BENIGN, K.SAFE)
+    return scored.select("msg_id", "url", tiers.alias("has_tier1"), known.alias("has_result"), F.lit(None).cast("string").alias("reject_reason")).unionByName(
+        refused.select("msg_id", "url", F.lit(False).alias("has_tier1"), F.lit(False).alias("has_result"), "reject_reason"))
 
 
 QUERIES["model_metadata"] = QUERIES.pop("model_metadata_row")

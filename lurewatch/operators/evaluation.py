@@ -4,8 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lurewatch import constants as K
-from lurewatch.operators.bounded import lookup_join
-from lurewatch.operators.ranking import bounds_below, search_index
+from lurewatch.operators.ranking import in_ranges, required
 
 
 def confusion_matrix(df, label="label", prediction="prediction"):
@@ -69,24 +68,19 @@ def classification_report(df, label="label", prediction="prediction", names=("Be
     return confusion_matrix(df, label, prediction).select(F.inline(F.array(*rows)))
 
 
-def roc_auc(df, score="score", label="label", by=(), n_bounds=256):
+def roc_auc(df, score="score", label="label", by=()):
     """Exact area under the ROC curve, ties at mid-rank, for all rows or per group in ``by``.
 
-    Rows collapse to distinct scores first. Distinct scores go to buckets of about equal size, so running
-    counts need no single sorted task: a bucket's rows are ordered inside the bucket, and the totals of
-    earlier buckets come from a small table. The bounds only balance the work; the result is exact.
+    Rows collapse to distinct scores first. Those go to sorted ranges, so running counts need no single sorted
+    task: a range's rows are ordered inside it, and the totals of earlier ranges come from a small table. The
+    ranges only balance the work; the result is exact. A null score or label fails the job.
     """
     by = list(by)
+    df = required(df, score, label)
     distinct = df.groupBy(*by, score).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg")
     )
-    shares = [i / n_bounds for i in range(1, n_bounds)]
-    bounds = distinct.groupBy(*by).agg(search_index(F.percentile_approx(score, shares)).alias("_bounds"))
-    if by:
-        bucketed = lookup_join(distinct, bounds, by, salt_by=[score], how="inner")
-    else:
-        bucketed = distinct.crossJoin(F.broadcast(bounds))  # one row of 255 numbers
-    bucketed = bucketed.withColumn("_bucket", bounds_below(F.col("_bounds"), F.col(score))).drop("_bounds")
+    bucketed = in_ranges(distinct, *by, score)
 
     # Pairs won inside a bucket, plus the bucket's totals.
     earlier = Window.partitionBy(*by, "_bucket").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
@@ -96,7 +90,7 @@ def roc_auc(df, score="score", label="label", by=(), n_bounds=256):
         .groupBy(*by, "_bucket")
         .agg(*[F.sum(c).alias(c) for c in ("_won", "_pos", "_neg")])
     )
-    # Pairs won across buckets; at most n_bounds rows per group.
+    # Pairs won across buckets, of which there is one row per range.
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     neg_before = F.coalesce(F.sum("_neg").over(before), F.lit(0))
     totals = (

@@ -16,7 +16,8 @@ def drop_repeats(df, session="session_id", mail_id="mail_id", order=("ts", "even
     """Drop events that open the mail the same session had open just before: A, A, B, A gives A, B, A.
 
     A session may be very large, so it is cut into time buckets. The mail open at the end of the previous
-    bucket comes from a table with one row per session and bucket.
+    bucket comes from a table with one row per session and bucket. Choose ``unit`` so that no session has too
+    many events in one. Null sessions are one session, as in the streaming form; null times come first.
     """
     order = list(order)
     bucketed = df.withColumn("_bucket", F.date_trunc(unit, F.col(order[0])))
@@ -27,7 +28,10 @@ def drop_repeats(df, session="session_id", mail_id="mail_id", order=("ts", "even
     previous = F.coalesce(F.col("_previous"), F.col("_carried"))
     return (
         bucketed.withColumn("_previous", F.lag(mail_id).over(inside))
-        .join(carried, [session, "_bucket"])
+        .join(
+            carried.withColumnsRenamed({session: "_session", "_bucket": "_at"}),
+            F.col(session).eqNullSafe(F.col("_session")) & F.col("_bucket").eqNullSafe(F.col("_at")),
+        )
         .filter(~F.col(mail_id).eqNullSafe(previous))
         .select(*df.columns)
     )

@@ -2,16 +2,26 @@
 
 Rows are put into order-preserving buckets. Counts per (class, bucket) are a small table; their running
 sums tell for almost every bucket on which side of a cut all of its rows lie. Only rows of the few buckets
-that a cut goes through are ranked, and those buckets are thousands of times smaller than their class.
+that a cut goes through are ranked. The number of buckets follows the number of rows, so none grows with it.
 """
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lurewatch import constants as K
-from lurewatch.operators.bounded import as_local
+from lurewatch.session import materialise
 
-MAX_BUCKET_ROWS = 500_000
+#: Rows of a bucket on average; buckets grow in number with the table.
+BUCKET_ROWS = 50_000
+
+
+def required(df, *names):
+    """``df`` whose named columns fail the job where they are null: such rows have no rank."""
+    def checked(name):
+        missing = F.raise_error(F.lit(f"{name} is missing")).cast(df.schema[name].dataType)
+        return F.when(F.col(name).isNull(), missing).otherwise(F.col(name))
+
+    return df.withColumns({name: checked(name) for name in names})
 
 
 def hash_order(ids, seed=K.SEED):
@@ -28,8 +38,6 @@ def assign_parts(df, label, order, bucket, cuts, part="part"):
     """
     keyed = df.withColumn("_bucket", bucket)
     counts = keyed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    local_counts = as_local(counts, MAX_BUCKET_ROWS)
-    counts = counts if local_counts is None else local_counts
 
     classes = counts.groupBy(label).agg(F.sum("_n").alias("n"))
     along = Window.partitionBy(label).orderBy("_bucket")
@@ -41,8 +49,6 @@ def assign_parts(df, label, order, bucket, cuts, part="part"):
         .withColumn("_last", parts_below("cuts", F.col("_before") + F.col("_n") - 1))
         .drop("_n")
     )
-    if local_counts is not None:
-        placed = F.broadcast(placed)
 
     rows = keyed.join(placed, [label, "_bucket"])
     whole = rows.filter(F.col("_first") == F.col("_last")).withColumn(part, F.col("_first"))
@@ -57,19 +63,13 @@ def parts_below(cuts, rank):
     return F.size(F.filter(F.col(cuts), lambda c: c <= rank))
 
 
-STRIDE = 16
-
+def in_ranges(df, *order):
+    """``df`` with ``_bucket``, which never decreases along ``order``, in buckets of about ``BUCKET_ROWS`` rows.
 
-def search_index(bounds):
-    """struct<fine, coarse> of an array of bounds: the sorted bounds, and every ``STRIDE``-th of them."""
-    fine = F.array_sort(F.array_distinct(bounds))
-    return F.struct(
-        fine.alias("fine"), F.filter(fine, lambda b, i: i % STRIDE == STRIDE - 1).alias("coarse")
-    )
-
-
-def bounds_below(index, value):
-    """How many bounds lie below ``value``, in two short scans instead of one over all bounds."""
-    skipped = F.size(F.filter(index["coarse"], lambda b: b < value)) * STRIDE
-    rest = F.slice(index["fine"], skipped + 1, F.lit(STRIDE))
-    return skipped + F.size(F.filter(rest, lambda b: b < value))
+    Sorted ranges of the whole table, as many as its size asks for. Bounds are sampled, so the result is
+    written once and read again: later steps all see the same buckets.
+    """
+    rows = materialise(df, "unranged")
+    parallel = df.sparkSession.sparkContext.defaultParallelism
+    n = max(parallel, -(-rows.count() // BUCKET_ROWS))
+    return materialise(rows.repartitionByRange(n, *order).withColumn("_bucket", F.spark_partition_id()), "ranged")

@@ -4,20 +4,26 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lurewatch import constants as K
-from lurewatch.operators.ranking import assign_parts, bounds_below, hash_order, search_index
-
-HEX_DIGITS = 3
+from lurewatch.operators.ranking import BUCKET_ROWS, assign_parts, hash_order, in_ranges, required
 
 
 def class_distribution(df, label="label"):
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
+def hex_digits(n_rows, bucket_rows=BUCKET_ROWS):
+    """Leading hash digits that cut ``n_rows`` into buckets of at most about ``bucket_rows``; three at least."""
+    digits = 3
+    while 16**digits * bucket_rows < n_rows:
+        digits += 1
+    return digits
+
+
 def _by_hash(df, label, ids, seed, cuts, part):
-    keyed = df.withColumn("_order", hash_order(F.col(ids), seed))
-    parted = assign_parts(
-        keyed, label, ["_order", ids], F.substr("_order", F.lit(1), F.lit(HEX_DIGITS)), cuts, part
-    )
+    """``part`` by hash order inside each class. Rows without a label or an id fail the job."""
+    digits = hex_digits(df.count())
+    keyed = required(df, label, ids).withColumn("_order", hash_order(F.col(ids), seed))
+    parted = assign_parts(keyed, label, ["_order", ids], F.substr("_order", F.lit(1), F.lit(digits)), cuts, part)
     return parted.drop("_order")
 
 
@@ -51,17 +57,14 @@ def stratified_split(df, label="label", ids="doc_id", test_fraction=K.TEST_FRACT
     return parted.withColumn("is_test", F.col("_part") == 0).drop("_part")
 
 
-def assign_folds(df, label="label", ids="doc_id", folds=K.N_FOLDS, part="fold", n_bounds=256):
+def assign_folds(df, label="label", ids="doc_id", folds=K.N_FOLDS, part="fold"):
     """Add the fold number: stratified, unshuffled, contiguous inside each class in id order.
 
     Classes are laid end to end in the order of their first row; a class gives fold i as many rows as
-    there are positions p in its stretch with ``p % folds == i``, which keeps all folds equally large.
+    there are positions p in its stretch with ``p % folds == i``, which keeps all folds equally large. Rows
+    without a label or an id fail the job.
     """
-    # Bounds only balance the buckets; ranks are exact whatever they are.
-    shares = [i / n_bounds for i in range(1, n_bounds)]
-    bounds = df.agg(search_index(F.percentile_approx(ids, shares)).alias("_bounds"))
-    indexed = df.crossJoin(F.broadcast(bounds))  # one row of 255 ids
-    bucket = bounds_below(F.col("_bounds"), F.col(ids))
+    df = in_ranges(required(df, label, ids), label, ids)
     first_rows = df.groupBy(label).agg(F.min(ids).alias("_first_id"))
 
     def cuts(classes):
@@ -74,4 +77,4 @@ def assign_folds(df, label="label", ids="doc_id", folds=K.N_FOLDS, part="fold",
         sizes = [positions(F.col("_stop"), i) - positions(F.col("_stop") - F.col("n"), i) for i in range(folds)]
         return placed.withColumn("cuts", F.array(*[sum(sizes[1:i + 1], sizes[0]) for i in range(folds - 1)]))
 
-    return assign_parts(indexed, label, [ids], bucket, cuts, part).drop("_bounds")
+    return assign_parts(df, label, [ids], F.col("_bucket"), cuts, part).drop("_bucket")

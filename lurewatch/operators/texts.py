@@ -4,12 +4,12 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lurewatch import constants as K
 from lurewatch.functions import strings as S
 from lurewatch.functions import text as T
-from lurewatch.operators.bounded import lookup_join
 
 
 def clean_text(df, text="text"):
@@ -96,7 +96,6 @@ class TextVectorizer:
             out = stage.transform(out)
         return out.drop("terms", "_counts", "_weighted")
 
-
     def long_form(self, df, ids="doc_id", text="text", normalise=True):
         """(id, term, tf, tfidf) of the known terms of every document. A row opens up where it lies: no shuffle."""
         out = with_terms(df.select(ids, text), text, config=self.config)
@@ -121,13 +120,15 @@ def positions(vector):
 
 
 def tfidf_joined(df, vocabulary, ids="doc_id", text="text", config=TextConfig(), normalise=True):
-    """The long form for a vocabulary (term, idf) of any size, by a join that stands very frequent terms."""
+    """The long form for a vocabulary (term, idf) of any size, by a join on the term.
+
+    Norms are sums over the rows of a document, which is the only group that meets in one task."""
     exploded = with_terms(df, text, config=config).select(ids, F.explode_outer("terms").alias("term"))
     # Counted per document first: a document has at most its own length in rows here.
     counted = exploded.filter(F.col("term").isNotNull()).groupBy(ids, "term").agg(F.count(F.lit(1)).alias("tf"))
-    known = lookup_join(counted, vocabulary.select("term", "idf"), "term", salt_by=[ids], how="inner")
+    known = counted.join(vocabulary.select("term", "idf"), "term")
     weighted = known.select(ids, "term", F.col("tf").cast("int").alias("tf"), (F.col("tf") * F.col("idf")).alias("tfidf"))
     if not normalise:
         return weighted
-    norms = weighted.groupBy(ids).agg(F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf"))).alias("_norm"))
-    return weighted.join(norms, ids).withColumn("tfidf", F.try_divide("tfidf", "_norm")).drop("_norm")
+    norm = F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf")).over(Window.partitionBy(ids)))
+    return weighted.withColumn("tfidf", F.try_divide("tfidf", norm))

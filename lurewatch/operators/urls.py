@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lurewatch import constants as K
 from lurewatch.functions import urls as U
-from lurewatch.operators.bounded import as_local, lookup_join
+from lurewatch.session import materialise
 
 
 def split_urls(df, url="url"):
@@ -17,43 +17,47 @@ def split_urls(df, url="url"):
     )
 
 
-def suffix_rules(suffixes, max_rows=50_000):
-    """Rules from a list, or from a one-column table if it is small enough to be literals of the plan."""
+def suffix_rules(suffixes):
+    """Rules from a list; None for a one-column table, whose rules are joined whatever their number."""
     if suffixes is None:
         return U.SuffixRules()
     if isinstance(suffixes, U.SuffixRules):
         return suffixes
     if isinstance(suffixes, DataFrame):
-        local = as_local(suffixes.select(suffixes.columns[0]), max_rows)
-        return None if local is None else U.SuffixRules([r[0] for r in local.collect()])
+        return None
     return U.SuffixRules(suffixes)
 
 
-def with_host_parts(df, url="url", suffixes=None, max_rule_rows=50_000):
+def with_host_parts(df, url="url", suffixes=None):
     """Add the struct ``host_parts`` (subdomain, domain, suffix).
 
-    ``suffixes`` is a list of rules, a one-column table of rules, or None for the default list. Rules are
-    literals of a projection; only a rule table larger than ``max_rule_rows`` is joined.
+    ``suffixes`` is a list of rules, a one-column table of rules, or None for the default list. A list becomes
+    literals of a projection; a table is joined. A null url has no parts.
     """
-    rules = suffix_rules(suffixes, max_rule_rows)
+    rules = suffix_rules(suffixes)
     hosted = df.withColumn("_host", U.lenient_host(F.col(url)))
     if rules is None:
         hosted = _join_suffix_labels(hosted, suffixes)
     else:
         hosted = hosted.withColumn("_suffix_labels", rules.suffix_labels(F.lower(F.col("_host"))))
-    return hosted.withColumn("host_parts", U.split_host(F.col("_host"), F.col("_suffix_labels"))).drop(
+    parts = F.when(F.col(url).isNotNull(), U.split_host(F.col("_host"), F.col("_suffix_labels")))
+    return hosted.withColumn("host_parts", parts).drop(
         "_host", "_suffix_labels"
     )
 
 
 def _join_suffix_labels(df, rule_table):
-    """Suffix lengths by a join of the different hosts with a rule table of any size."""
+    """Suffix lengths by a join of the different hosts with a rule table of any size.
+
+    Very many hosts end alike ("com"). Both sides of that join are plain rows, so Spark splits such a partition;
+    a rule that is listed twice changes no maximum.
+    """
     rule = F.lower(F.trim(F.col(rule_table.columns[0])))
     wild, exception = F.startswith(rule, F.lit("*.")), F.startswith(rule, F.lit("!"))
     rules = rule_table.select(
         F.when(wild, F.substr(rule, F.lit(3))).when(exception, F.substr(rule, F.lit(2))).otherwise(rule).alias("tail"),
         F.when(wild, 1).when(exception, -1).otherwise(0).alias("extra"),
-    ).distinct()
+    )
     hosts = df.select("_host").distinct()
     labels = F.size(F.split(F.lower("_host"), r"\."))
     tails = hosts.select(
@@ -69,8 +73,7 @@ def _join_suffix_labels(df, rule_table):
         )
         .select("_host", F.coalesce("by_exception", "by_rule").alias("_suffix_labels"))
     )
-    joined = lookup_join(df, lengths, "_host", salt_by=[c for c in df.columns if c != "_host"])
-    return joined.withColumn("_suffix_labels", F.coalesce("_suffix_labels", F.lit(0)))
+    return df.join(materialise(lengths, "suffix-lengths"), "_host", "left").withColumn("_suffix_labels", F.coalesce("_suffix_labels", F.lit(0)))
 
 
 def url_features(df, url="url", suffixes=None):

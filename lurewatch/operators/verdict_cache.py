@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from lurewatch import constants as K
 from lurewatch.functions import experts as E
-from lurewatch.operators.bounded import lookup_join
 from lurewatch.schemas import EXPERT_RESULT
 
 
@@ -20,17 +19,18 @@ def latest(cache):
 
 def fresh(cache, now, ttl_hours=K.CACHE_TTL_HOURS):
     """The valid entry of each key. A key is valid exactly if one of its entries is young enough, so the
-    age filter comes before the grouping and reaches the scan."""
-    oldest = F.lit(float(now)) - F.col("created_at")
-    return latest(cache.filter(oldest <= F.lit(float(ttl_hours) * 3600)))
+    age filter comes before the grouping, and it compares the bare column, so it reaches the scan."""
+    return latest(cache.filter(F.col("created_at") >= F.lit(float(now) - float(ttl_hours) * 3600)))
 
 
-def lookup(df, cache, now, ttl_hours=K.CACHE_TTL_HOURS, response_time_ms=0, ids="msg_id"):
-    """Add ``cached``: the stored result marked as a cache hit, or null.
+def lookup(df, cache, now, ttl_hours=K.CACHE_TTL_HOURS, response_time_ms=0):
+    """Add ``cached``: the stored result marked as a cache hit, or null. ``df`` has ``cache_key``."""
+    return with_cached(df, fresh(cache, now, ttl_hours), response_time_ms)
 
-    ``df`` has ``cache_key``; one very frequent key does not load one task.
-    """
-    joined = lookup_join(df, fresh(cache, now, ttl_hours), "cache_key", salt_by=[ids])
+
+def with_cached(df, valid, response_time_ms=0):
+    """``lookup`` with the valid entries at hand. Where those are a written table, Spark splits a frequent key."""
+    joined = df.join(valid, "cache_key", "left")
     return joined.withColumn("cached", as_hit(F.col("response_json"), response_time_ms)).drop(
         "response_json", "created_at"
     )
@@ -58,7 +58,11 @@ def misses(df, cache, now, ttl_hours=K.CACHE_TTL_HOURS, skip_cache=False, ids="m
     )
     if skip_cache:
         return requests
-    return requests.join(fresh(cache, now, ttl_hours).select("cache_key"), "cache_key", "left_anti")
+    return without_cached(requests, fresh(cache, now, ttl_hours))
+
+
+def without_cached(requests, valid):
+    return requests.join(valid.select("cache_key"), "cache_key", "left_anti")
 
 
 def entries(results, now, result="tier3_result"):

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from lurewatch import constants as K
 from lurewatch.operators import evaluation as V
 from lurewatch.operators import training as G
-from lurewatch.operators.sampling import assign_folds, class_distribution, stratified_split
+from lurewatch.operators.sampling import assign_folds, balanced_sample, class_distribution, stratified_split
 from lurewatch.operators.texts import TextConfig, TextVectorizer
-from lurewatch.operators.urls import suffix_rules, url_features
+from lurewatch.operators.urls import url_features
 from lurewatch.session import materialise
 from lurewatch.sources.models import TextDetector, UrlDetector, model_metadata
 
@@ -21,6 +21,7 @@ class TrainingReport:
     detector: object
     fit: object
     class_distribution: object
+    split_classes: object
     split_sizes: object
     report: object
     confusion: object
@@ -36,12 +37,23 @@ def split_sizes(split, n_features=None):
     return sizes if n_features is None else sizes.withColumn("n_features", F.lit(n_features))
 
 
-def _validation(train, test, reuse_test, ids, seed):
-    """Training and validation rows. By default a slice of the training rows validates; the test rows stay unseen."""
+def _parts(df, ids, test_fraction, seed, reuse_test):
+    """``df`` with ``is_test`` and ``part``, written once: which rows fit, which validate and which test.
+
+    By default a slice of the training rows validates and the test rows stay unseen; with ``reuse_test`` the
+    test rows do both.
+    """
+    split = materialise(stratified_split(df, ids=ids, test_fraction=test_fraction, seed=seed), "split")
     if reuse_test:
-        return train, test
-    inner = stratified_split(train.drop("is_test"), ids=ids, seed=seed + 1)
-    return inner.filter(~F.col("is_test")), inner.filter(F.col("is_test"))
+        return split.withColumn("part", F.when(F.col("is_test"), "test").otherwise("fit"))
+    train = split.filter(~F.col("is_test")).drop("is_test")
+    inner = stratified_split(train, ids=ids, seed=seed + 1)
+    inner = inner.select(*train.columns, F.lit(False).alias("is_test"), F.when(F.col("is_test"), "valid").otherwise("fit").alias("part"))
+    return materialise(inner.unionByName(split.filter("is_test").withColumn("part", F.lit("test"))), "parts")
+
+
+def _fit_and_valid(rows, reuse_test):
+    return rows.filter("part = 'fit'"), rows.filter(F.col("part") == ("test" if reuse_test else "valid"))
 
 
 def _evaluate(detector_model, test):
@@ -50,13 +62,14 @@ def _evaluate(detector_model, test):
     return scored.select("label", "score", "prediction")
 
 
-def _finish(detector, fit, labelled, split, test, n_features, **extra):
+def _finish(detector, fit, rows, test, n_features, **extra):
     scored = _evaluate(detector.model, test)
     return TrainingReport(
         detector=detector,
         fit=fit,
-        class_distribution=class_distribution(labelled),
-        split_sizes=split_sizes(split, n_features),
+        class_distribution=class_distribution(rows),
+        split_classes=rows.groupBy("is_test", "label").agg(F.count(F.lit(1)).alias("n")),
+        split_sizes=split_sizes(rows, n_features),
         report=V.classification_report(scored),
         confusion=V.confusion_matrix(scored),
         auc=V.roc_auc(scored),
@@ -75,48 +88,46 @@ def train_url_detector(
     rows steer early stopping.
     """
     spark = df.sparkSession
-    rules = suffix_rules(suffixes)
-    if rules is None:
-        raise ValueError("a detector carries its suffix rules; the given rule table is too large for that")
-    featured = url_features(df.select(ids, "url", "label"), "url", rules).drop("url")
+    featured = url_features(df.select(ids, "url", "label"), "url", suffixes).drop("url")
     assembled = UrlDetector.assembler().transform(featured).select(ids, "label", G.FEATURES)
-    rows = materialise(stratified_split(assembled, ids=ids, test_fraction=test_fraction, seed=seed), "url-train")
-    train, test = rows.filter(~F.col("is_test")), rows.filter(F.col("is_test"))
-    fit_rows, valid = _validation(train, test, reuse_test_as_valid, ids, seed)
-    fit = G.fit_booster(fit_rows, valid, patience, metric, **{**settings, "seed": seed})
-    listed = K.DEFAULT_SUFFIXES if suffixes is None else rules.as_list()
-    detector = UrlDetector.from_model(fit.model, suffixes=listed)
+    rows = _parts(assembled, ids, test_fraction, seed, reuse_test_as_valid)
+    settings = {**settings, "seed": seed}
+    fit = G.fit_booster(*_fit_and_valid(rows, reuse_test_as_valid), patience, metric, **settings)
+    detector = UrlDetector.from_model(fit.model, suffixes=suffixes)
     folds = None
     if cv:
-        folds = G.cross_validate(assign_folds(rows.drop("is_test"), ids=ids), fit.n_trees, **settings)
+        folded = materialise(assign_folds(rows.drop("is_test", "part"), ids=ids), "folds")
+        folds = G.cross_validate(folded, fit.n_trees, **settings)
     if path is not None:
         detector.save(
             spark, path, model_metadata(rows, "gbt_url", "Lexical url features with boosted trees", len(K.URL_FEATURES))
         )
     return _finish(
-        detector, fit, rows, rows, test, len(K.URL_FEATURES),
+        detector, fit, rows, rows.filter("is_test"), len(K.URL_FEATURES),
         cv_folds=folds, importance=G.feature_importance(spark, detector.importances()), settings=settings,
     )
 
 
 def train_text_detector(
     df, ids, config=TextConfig(), test_fraction=K.TEST_FRACTION, seed=K.SEED, reuse_test_as_valid=False,
-    patience=K.PATIENCE, metric="auc", path=None, **settings,
+    patience=K.PATIENCE, metric="auc", path=None, sample_size=None, **settings,
 ):
-    """Train the text classifier on (ids, text, label) rows. The vocabulary comes from the training rows only."""
+    """Train the text classifier on (ids, text, label) rows. The vocabulary comes from the training rows only.
+
+    ``sample_size`` bounds the labelled rows (a balanced sample); None takes all.
+    """
     spark = df.sparkSession
-    split = stratified_split(df.select(ids, "text", "label"), ids=ids, test_fraction=test_fraction, seed=seed)
-    split = materialise(split, "text-split")
+    given = balanced_sample(df.select(ids, "text", "label"), sample_size, ids=ids, seed=seed)
+    split = _parts(given, ids, test_fraction, seed, reuse_test_as_valid)
     vectorizer = TextVectorizer.fit(split.filter(~F.col("is_test")), "text", config)
-    rows = vectorizer.transform(split, "text", G.FEATURES).select(ids, "label", "is_test", G.FEATURES)
+    rows = vectorizer.transform(split, "text", G.FEATURES).select(ids, "label", "is_test", "part", G.FEATURES)
     rows = materialise(rows, "text-train")
-    train, test = rows.filter(~F.col("is_test")), rows.filter(F.col("is_test"))
-    fit_rows, valid = _validation(train, test, reuse_test_as_valid, ids, seed)
-    fit = G.fit_booster(fit_rows, valid, patience, metric, **{**settings, "seed": seed})
+    settings = {**settings, "seed": seed}
+    fit = G.fit_booster(*_fit_and_valid(rows, reuse_test_as_valid), patience, metric, **settings)
     detector = TextDetector.from_model(vectorizer, fit.model)
     if path is not None:
         metadata = model_metadata(
             rows, "gbt_tfidf", "TF-IDF with boosted trees", config.max_features
         )
         detector.save(spark, path, metadata)
-    return _finish(detector, fit, rows, split, test, len(vectorizer.terms), settings=settings)
+    return _finish(detector, fit, rows, rows.filter("is_test"), len(vectorizer.terms), settings=settings)

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+INPUT_PARTITIONS = "spark.lurewatch.input.partitions"
+
 
 def local_session(cores="8", app="lurewatch", **conf):
     """A session for tests and benchmarks on one machine."""
@@ -18,6 +20,8 @@ def local_session(cores="8", app="lurewatch", **conf):
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lurewatch-"))
+        .config(INPUT_PARTITIONS, str(cores))
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -30,12 +34,12 @@ def checkpoint_root(spark):
     """The folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
     Only where nothing is set (local runs and tests) a folder of this machine is made and set, and only
-    when the session is local: on a cluster such a folder would be lost with its machine.
+    when all executors are threads of this process: on a cluster such a folder would be lost with its machine.
     """
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not conf.get("spark.master", "").startswith("local"):
+        if not conf.get("spark.master", "").startswith("local") or "cluster" in conf.get("spark.master"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="lurewatch-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -47,28 +51,25 @@ def scratch_path(spark, name):
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df, name="table"):
-    """Write ``df`` to a table in the shared folder and read it back.
+def materialise(df, name="table", made=None):
+    """Write ``df`` to a table in the shared folder and read it back. ``made``: a list that gets the path.
 
     Cuts lineage with files that outlive the executors, so a lost executor never makes a costly or
     unrepeatable step (an expert call, a model score) run again.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-SMALL_INPUT_BYTES = 1 << 30
-
-
-def spread(df):
-    """Give every core a share of a small input; a large one is left as it is.
+def input_partitions(df):
+    """``df`` dealt out evenly to as many partitions as the session asks for in ``INPUT_PARTITIONS``.
 
-    A small file is often a single row group, so one task would do all the work on its rows. Shuffling less
-    than 1 GB costs little; larger inputs have enough splits of their own and are never shuffled here.
+    Meant for few large files of one row group each, which Spark cannot split. It holds at every size; where
+    the setting is absent, as on a cluster with many files, the scan's own partitions stay.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    wanted = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df if wanted is None else df.repartition(int(wanted))

@@ -16,3 +16,9 @@ def child_names(spark, path):
     if not fs.exists(target):
         return []
     return [status.getPath().getName() for status in fs.listStatus(target)]
+
+
+def remove(spark, path):
+    """Remove a folder with all it holds; a missing one is no error."""
+    fs, target = _file_system(spark, path)
+    fs.delete(target, True)

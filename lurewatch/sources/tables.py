@@ -12,15 +12,18 @@ from lurewatch.operators.urls import url_features
 def read_csv(spark, path, on_bad_lines="error", multi_line=True):
     """All columns as strings; cells such as ``NA`` are null.
 
-    A line with surplus fields fails the job, or is skipped with ``on_bad_lines="skip"``; a short line is
-    filled with nulls. ``multi_line`` allows line breaks inside quotes but reads each file in one task:
+    A line with surplus fields, also empty ones, fails the job, or is skipped with ``on_bad_lines="skip"``; a
+    short line is filled with nulls. A file whose header differs from the others' fails the job. ``multi_line`` allows line breaks inside quotes but reads each file in one task:
     write many files, or switch it off for texts without line breaks, and files are split.
     """
     options = {"header": True, "multiLine": multi_line, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
     names = spark.read.options(**options).csv(path).columns
-    fields = [T.StructField(n, T.StringType()) for n in [*names, "_surplus"]]
-    raw = spark.read.options(**options, enforceSchema=True).schema(T.StructType(fields)).csv(path)
-    surplus = F.col("_surplus").isNotNull()
+    fields = [T.StructField(n, T.StringType()) for n in [*names, "_record"]]
+    # The header of every file is compared; all columns are parsed, so every odd line is seen.
+    strict = {"enforceSchema": False, "columnPruning": False, "columnNameOfCorruptRecord": "_record"}
+    raw = spark.read.options(**options, **strict).schema(T.StructType(fields)).csv(path)
+    unquoted = F.regexp_replace("_record", r'"(?:[^"]|"")*+"', "")
+    surplus = F.coalesce(F.length(F.regexp_replace(unquoted, "[^,]", "")) >= len(names), F.lit(False))
     if on_bad_lines == "skip":
         kept = raw.filter(~surplus)
     else:

@@ -18,8 +18,8 @@ def write_capture(events, path, checkpoint, trigger=None):
 def drop_repeats(events, session="session_id", mail_id="mail_id", order=("ts", "event_id"), expire_after_ms=None):
     """Streaming form of the batch operator: per session the state is the id of the mail it has open.
 
-    Events of a session are put in order inside a micro-batch, whose size the source bounds. With
-    ``expire_after_ms`` the state of a session that stays silent that long is dropped.
+    Events of a session are put in order inside a micro-batch, whose size the source bounds. With ``expire_after_ms`` the state of a
+    session that stays silent that long is dropped. Null sessions are one session.
     """
     order = list(order)
     state_schema = f"last {events.schema[mail_id].dataType.simpleString()}"
@@ -45,11 +45,16 @@ def drop_repeats(events, session="session_id", mail_id="mail_id", order=("ts", "
 
 
 def write_scores(captured, analyzer, path, checkpoint, ids="event_id", trigger=None, **options):
-    """Score captured mail batch by batch. A batch that is run again replaces its own output only."""
+    """Score captured mail batch by batch: verdicts below ``path/verdicts``, refused mail below ``path/rejects``.
+
+    A batch that is run again replaces its own output only. Its scratch tables go when it is written.
+    """
 
     def score_batch(batch, batch_id):
-        verdicts = analyzer.analyze(as_messages(batch, ids), **options)
-        verdicts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        verdicts, rejects = analyzer.analyze_all(as_messages(batch, ids), **options)
+        verdicts.write.mode("overwrite").parquet(f"{path}/verdicts/batch_id={batch_id}")
+        rejects.write.mode("overwrite").parquet(f"{path}/rejects/batch_id={batch_id}")
+        analyzer.drop_scratch()
 
     writer = captured.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

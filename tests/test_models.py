@@ -26,7 +26,7 @@ def test_stop_words_are_those_of_spark(spark):
 
 
 def test_csv_bad_lines(spark):
-    path = write_text(spark, "texts", 'message_body,label\n"a, ""b""\nc",1\nx,0,surplus\nshort\nNA,1\nok,0.0\n')
+    path = write_text(spark, "texts", 'message_body,label\n"a, ""b""\nc",1\nx,0,surplus\nextra,0,\nmore,0,,y\nshort\nNA,1\nok,0.0\n')
     with pytest.raises(Exception, match="more fields"):
         S.read_csv(spark, path).collect()
     with pytest.raises(ValueError, match="missing columns"):
@@ -37,6 +37,31 @@ def test_csv_bad_lines(spark):
     assert [tuple(r) for r in rows] == [('a, "b"\nc', "1"), ("short", None), (None, "1"), ("ok", "0.0")]
 
 
+def test_csv_headers_must_agree(spark):
+    folder = scratch_path(spark, "two")
+    import os
+
+    os.makedirs(folder)
+    for name, content in (("a.csv", "text,label\na,1\n"), ("b.csv", "label,text\n0,b\n")):
+        with open(f"{folder}/{name}", "w") as f:
+            f.write(content)
+    with pytest.raises(Exception):
+        S.read_csv(spark, folder).collect()
+
+
+@pytest.mark.parametrize("column", ["label", "doc_id"])
+def test_splits_refuse_rows_without_label_or_id(spark, column):
+    df = spark.range(50).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("label"))
+    df = df.withColumn(column, F.when(F.col("doc_id") > 5, F.col(column)))
+    for part in (SA.stratified_split, SA.assign_folds, lambda d: SA.balanced_sample(d, 20)):
+        with pytest.raises(Exception, match=f"{column} is missing"):
+            part(df).collect()
+
+
+def test_buckets_grow_with_the_table():
+    assert SA.hex_digits(1000) == 3 and SA.hex_digits(10**9) == 4 and SA.hex_digits(10**11) == 6
+
+
 def test_url_training_rows(spark):
     path = write_text(spark, "urls", "url,label\nhttp://fake-bank.tk,1\n,0\n")
     rows = S.load_url_training(spark, path).orderBy("label").collect()
@@ -98,7 +123,7 @@ def test_url_training_on_separable_data(spark):
 
 
 def test_saved_models(spark, sf):
-    with pytest.raises(FileNotFoundError, match="Train model first"):
+    with pytest.raises(FileNotFoundError, match="no saved model"):
         UrlDetector.load(spark, scratch_path(spark, "nothing"))
     detector = Q._text_training(spark, sf).detector
     path = scratch_path(spark, "model")

@@ -4,11 +4,8 @@ import pytest
 
 import check
 import __spark_entry__ as entry
-
-MODEL_QUERIES = {
-    "train_url_model", "train_text_model", "early_stopping", "cv_auc", "feature_importance",
-    "score_url", "score_text", "analyze",
-}
+from lurewatch.catalog.oracles import ORACLES
+from lurewatch.catalog.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -16,14 +13,14 @@ def db(sf):
     return check.connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, sf, name):
     assert check.compare(spark, db, sf, name) is None
 
 
-def test_only_model_scores_go_without_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == MODEL_QUERIES
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+def test_all_have_sql():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
