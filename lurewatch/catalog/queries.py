@@ -620,15 +620,20 @@ def routing_stats(spark, sf):
     return V.routing_stats(verdicts)
 
 
-@query
-def analyze(spark, sf):
-    """The flagship: trained detectors, fusion, expert, verdicts."""
+def flagship(spark, sf):
+    """Trained detectors, fusion, expert: one verdict row per message."""
     analyzer = Analyzer(
         _url_training(spark, sf).detector, _text_training(spark, sf).detector,
         make_expert=I.make_expert, expert_model="stub", expert_partitions=8,
         store=VerdictStore(spark, scratch_path(spark, "verdicts")),
     )
-    verdicts = analyzer.analyze(I.messages(spark, sf), now=I.NOW)
+    return analyzer.analyze(I.messages(spark, sf), now=I.NOW)
+
+
+@query
+def analyze(spark, sf):
+    """Every message has a known result, and its details agree with the tier that decided."""
+    verdicts = flagship(spark, sf)
     known = F.col("result").isin(K.PHISHING, K.BENIGN, K.SAFE)
     same = F.col("details.fusion_result.score").between(0, 1) & (
         (F.col("tier_used") == "3") == F.col("details.tier3_result").isNotNull())

@@ -99,7 +99,7 @@ def test_joined_rules_agree_with_literal_rules(spark):
     df = spark.createDataFrame([(f"http://{h}/p",) for h in hosts], "url string")
     rules = spark.createDataFrame([(r,) for r in K.DEFAULT_SUFFIXES], "rule string")
     literal = {r["url"]: r["host_parts"] for r in with_host_parts(df).collect()}
-    joined = {r["url"]: r["host_parts"] for r in with_host_parts(df, suffixes=rules, max_rule_rows=3).collect()}
+    joined = {r["url"]: r["host_parts"] for r in with_host_parts(df, suffixes=rules).collect()}
     assert literal == joined
     assert literal["http://a.city.kawasaki.jp/p"]["suffix"] == "kawasaki.jp"
     assert literal["http://b.c.kawasaki.jp/p"]["suffix"] == "c.kawasaki.jp"
