@@ -17,6 +17,9 @@ MAX_CACHED = 400_000
 #: Discount of Kneser-Ney, and the share of probability for characters never seen in training.
 DISCOUNT = 0.75
 UNSEEN = 1e-6
+#: Characters from which a text counts as long, and the least excess in bits per character that rejects one.
+LONG = 1000
+LEAST_EXCESS = 0.5
 
 
 @dataclass(frozen=True)
@@ -27,7 +30,7 @@ class LanguageConfig:
     order: int = 4
     sample_rows: int = 1500
     calibration: int = 5
-    slack: float = 1.5
+    slack: float = 2.0
 
 
 def letter_runs(text):
@@ -174,7 +177,7 @@ class LanguageModels:
     def cross_entropy(self, texts, order):
         """(bits per character in each language, number of characters) of each text; no letters: NaN, 0."""
         bits, size = np.full((len(texts), len(self.languages)), np.nan), np.zeros(len(texts), np.int64)
-        for first in range(0, len(texts), 200):
+        for first in range(0, len(texts) if self.languages else 0, 200):
             counted = [Counter(letter_runs(t)) for t in texts[first : first + 200]]
             every = set().union(*counted)
             new = sorted(every - self._places.keys())
@@ -193,8 +196,12 @@ class LanguageModels:
         return bits, size
 
     def calibrate(self, texts, names, order, slack):
-        """Per language: mean bits per character and the largest excess over it times the root of the length,
-        widened by ``slack``. Needs held-out rows; a language without any rejects nothing."""
+        """Per language the mean bits per character, and how far a text may lie above it: by the largest excess
+        of a calibration text of any language with at least ``LONG`` characters, times ``slack``; for shorter texts that limit grows
+        with the root of the missing length. A language without calibration texts rejects nothing.
+
+        Long texts vary by their content (repeats, passages in another language) and not by their length.
+        """
         bits, size = self.cross_entropy(texts, order)
         names = np.array(names)
         self.limits = np.full((len(self.languages), 2), np.inf)
@@ -203,7 +210,9 @@ class LanguageModels:
             if own.any():
                 b, n = bits[own, k], size[own]
                 mean = np.average(b, weights=n)
-                self.limits[k] = mean, slack * max(np.max((b - mean) * np.sqrt(n)), 1.0)
+                self.limits[k] = mean, (b - mean)[n >= LONG].max(initial=0.0)
+        far = self.limits[:, 1][np.isfinite(self.limits[:, 1])].max(initial=LEAST_EXCESS)
+        self.limits[:, 1] = np.where(np.isfinite(self.limits[:, 1]), slack * far, np.inf)
 
     def predict(self, texts, order):
         """(language, score, rejected) of each text."""
@@ -216,8 +225,8 @@ class LanguageModels:
             k = int(b.argmin())
             gap = np.minimum((b - b[k]) * min(n, 50), 500.0)
             names.append(self.languages[k]), scores.append(float(1 / np.sum(np.exp2(-gap))))
-            mean, spread = self.limits[k] if self.limits is not None else (np.inf, np.inf)
-            rejected.append(bool((b[k] - mean) * np.sqrt(n) > spread))
+            mean, far = self.limits[k] if self.limits is not None else (np.inf, np.inf)
+            rejected.append(bool(b[k] - mean > far * max(1.0, (LONG / n) ** 0.5)))
         return names, scores, rejected
 
 
