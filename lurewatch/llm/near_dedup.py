@@ -238,8 +238,9 @@ def _open_pairs(vertices, groups, components, texts, config):
     |D(x)| + |D(y)| - 2 c shingles, where c is the number of common differences. Similar sets differ in at
     most a(x) = |x| (1 - s) / s shingles, whence c >= |D(x)| - a(x), and the same for y. If x is not linked
     with p, also c > (|D(y)| + k (|p| - |y|)) / 2. With all differences of a group in one order, rarest
-    first, two vertices with c common ones share one among the first |D| - c + 1 of either. Differences that
-    only one vertex has take up places there but pair nobody.
+    first, two vertices with c common ones share one among the first |D| - c + 1 of either; and after the first
+    that they share, both must have enough places left for the others. Differences that only one vertex has
+    take up places but pair nobody.
     """
     s = config.percent / 100
     k = (1 - s) / (1 + s)
@@ -272,15 +273,19 @@ def _open_pairs(vertices, groups, components, texts, config):
     least_far = F.greatest(least, F.floor((F.col("_d") + k * (F.col("_pn") - F.col("_n"))) / 2 - 1e-6) + 1, F.lit(1))
     place = F.col("_d") - F.col("_shared") + F.col("_rank")
     ranked = materialise(common.select(
-        "u", "v", "_e", "_n", "_root",
+        "u", "v", "_e", "_n", "_root", "_d", place.alias("_place"),
         (~F.col("_linked") & (place <= F.col("_d") - F.greatest(least, F.lit(1)) + 1)).alias("_as_far"),
         (place <= F.col("_d") - least_far + 1).alias("_as_any"),
     ).filter("_as_far or _as_any"), "rare-differences")
     far = ranked.filter("_as_far")
     others = ranked.filter("_as_any").select(
-        "v", "_e", F.col("u").alias("_w"), F.col("_n").alias("_wn"), F.col("_root").alias("_w_root"))
+        "v", "_e", F.col("u").alias("_w"), F.col("_n").alias("_wn"), F.col("_root").alias("_w_root"),
+        F.col("_d").alias("_wd"), F.col("_place").alias("_w_place"))
+    slack = k * (F.col("_n") + F.col("_wn")) + 1e-6
+    left = F.least(F.col("_d") - F.col("_place"), F.col("_wd") - F.col("_w_place")) + 1
     found = far.join(others, ["v", "_e"]).filter(
-        (F.col("_root") != F.col("_w_root")) & _comparable(F.col("_n"), F.col("_wn"), config))
+        (F.col("_root") != F.col("_w_root")) & _comparable(F.col("_n"), F.col("_wn"), config)
+        & (F.abs(F.col("_d") - F.col("_wd")) <= slack) & (2 * left >= F.col("_d") + F.col("_wd") - slack))
     pairs = found.select(F.greatest("u", "_w").alias("u"), F.least("u", "_w").alias("v")).distinct()
     return described.filter("_linked").select("u", "v"), materialise(pairs, "open-pairs")
 
