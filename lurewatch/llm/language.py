@@ -13,7 +13,7 @@ from lurewatch.llm.words import BASE, mixed
 
 UNKNOWN = "und"
 _letters = re.compile(r"[^\W\d_]+").findall
-MAX_CACHED = 400_000
+MAX_CACHED = 250_000
 #: Discount of Kneser-Ney, and the share of probability for characters never seen in training.
 DISCOUNT = 0.75
 UNSEEN = 1e-6
