@@ -13,7 +13,9 @@ from lurewatch.llm.words import BASE, mixed
 
 UNKNOWN = "und"
 _letters = re.compile(r"[^\W\d_]+").findall
+#: Words a worker remembers, and what is scored at once.
 MAX_CACHED = 250_000
+PART_WORDS, PART_CHARS = 50_000, 1_000_000
 #: Discount of Kneser-Ney, and the share of probability for characters never seen in training.
 DISCOUNT = 0.75
 UNSEEN = 1e-6
@@ -103,6 +105,20 @@ def _codes(text):
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _blocks(texts):
+    """(place of the first, word counts of each) of up to 200 texts with up to ``MAX_CACHED`` words, or of one text."""
+    first, counted, held = 0, [], 0
+    for i, text in enumerate(texts):
+        words = Counter(letter_runs(text))
+        if counted and (len(counted) == 200 or held + len(words) > MAX_CACHED):
+            yield first, counted
+            first, counted, held = i, [], 0
+        counted.append(words)
+        held += len(words)
+    if counted:
+        yield first, counted
+
+
 class LanguageModels:
     """The models of all languages in arrays sorted by the hash of the gram.
 
@@ -158,39 +174,56 @@ class LanguageModels:
             lower = at, there
         return np.add.reduceat(-np.log2(np.maximum(p[1:], 1e-12)), marks[:-1], axis=0)
 
+    def _scores(self, words, order):
+        """(first, rows) for parts of a list of words, bounded in words and characters: a word's scores and its length."""
+        first = chars = 0
+        for i, word in enumerate(words):
+            chars += len(word) + 1
+            if i + 1 == len(words) or i + 1 - first == PART_WORDS or chars >= PART_CHARS:
+                part = words[first : i + 1]
+                lengths = np.fromiter((len(w) + 1 for w in part), np.float64, len(part))
+                yield first, np.column_stack([self._score_words(part, order), lengths])
+                first, chars = i + 1, 0
+
     def _learn(self, words, order):
         """Remember the scores and lengths of new words."""
-        if len(self._places) + len(words) > MAX_CACHED:
-            self.forget()
         n = len(self._places)
         if n + len(words) > len(self._known):
             grown = np.empty((2 * (n + len(words)), self._known.shape[1]))
             grown[:n] = self._known[:n]
             self._known = grown
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
-            rows = self._known[n + i : n + i + len(part)]
-            rows[:, :-1] = self._score_words(part, order)
-            rows[:, -1] = [len(w) + 1 for w in part]
+        for first, rows in self._scores(words, order):
+            self._known[n + first : n + first + len(rows)] = rows
         self._places.update(zip(words, range(n, n + len(words))))
 
+    def _sums(self, counted, order):
+        """Scores and lengths summed over the words of each text of a block.
+
+        Words of earlier blocks are forgotten if those of this one would not fit beside them. A text with more
+        words than are ever remembered is a block of its own and is summed in parts.
+        """
+        every = set().union(*counted)
+        if len(every) > MAX_CACHED:
+            (words,) = counted
+            times = np.fromiter(words.values(), np.float64, len(words))
+            return [sum(times[i : i + len(rows)] @ rows for i, rows in self._scores(list(words), order))]
+        new = every - self._places.keys()
+        if len(self._places) + len(new) > MAX_CACHED:
+            self.forget()
+            new = every
+        if new:
+            self._learn(sorted(new), order)
+        place = self._places.__getitem__
+        return [
+            np.fromiter(words.values(), np.float64, len(words))
+            @ self._known[np.fromiter(map(place, words), np.int64, len(words))] for words in counted]
+
     def cross_entropy(self, texts, order):
         """(bits per character in each language, number of characters) of each text; no letters: NaN, 0."""
         bits, size = np.full((len(texts), len(self.languages)), np.nan), np.zeros(len(texts), np.int64)
-        for first in range(0, len(texts) if self.languages else 0, 200):
-            counted = [Counter(letter_runs(t)) for t in texts[first : first + 200]]
-            every = set().union(*counted)
-            new = sorted(every - self._places.keys())
-            if new:
-                held = len(self._places)
-                self._learn(new, order)
-                if len(self._places) < held + len(new):
-                    self._learn(sorted(every - self._places.keys()), order)
-            place = self._places.__getitem__
-            for i, words in enumerate(counted, first):
-                if words:
-                    times = np.fromiter(words.values(), np.float64, len(words))
-                    sums = times @ self._known[np.fromiter(map(place, words), np.int64, len(words))]
+        for first, counted in _blocks(texts) if self.languages else ():
+            for i, sums in enumerate(self._sums(counted, order), first):
+                if sums[-1]:
                     size[i] = round(sums[-1])
                     bits[i] = sums[:-1] / sums[-1]
         return bits, size

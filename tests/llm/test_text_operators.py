@@ -198,6 +198,21 @@ def test_far_texts_are_rejected(spark):
     assert not rows[1]["rejected"] and rows[2]["rejected"] and rows[3]["lang_pred"] == "und"
 
 
+@pytest.mark.parametrize("cap", [1, 3, 8])
+def test_more_words_than_are_remembered(monkeypatch, cap):
+    model = language.LanguageModels.fit({"x": {"banana": 3, "band": 1}, "y": {"nab": 2, "é": 1}}, 3)
+    texts = ["banana band", "", "a b c d e f g h i j a", None, "nab band zap", "banana band", "k l m n o p q"]
+    bits, size = model.cross_entropy(texts, 3)
+    monkeypatch.setattr(language, "MAX_CACHED", cap)
+    monkeypatch.setattr(language, "PART_WORDS", 2, raising=False)
+    model.forget()
+    for part in (["band"], texts, ["nab"], texts):
+        found, sizes = model.cross_entropy(part, 3)
+        assert len(model._places) <= cap
+    assert np.allclose(found, bits, equal_nan=True) and list(sizes) == list(size)
+    assert found[0].tolist() == found[5].tolist()
+
+
 def test_held_out_rule(spark):
     ids = spark.createDataFrame([(i,) for i in range(-5, 50)], "doc_id bigint")
     for r in rows_of(ids.select("doc_id", language.held_out(F.col("doc_id")).alias("h"))):
