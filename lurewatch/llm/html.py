@@ -32,9 +32,61 @@ UNWANTED = {
     "sharing", "social", "subscribe", "newsletter", "signup", "login", "popup", "modal", "widget", "pagination",
     "pager", "contentinfo", "complementary", "search", "alert",
 }
-CLOSED_BY_BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: Of these, the words for what readers write: never the article, however long.
+READERS = {"comment", "comments", "disqus", "reply", "replies", "respond"}
+#: First words of names that tell what stands elsewhere on the page, and words of containers of articles.
+STATES = {"has", "no", "with", "without"}
+CONTENT = {"article", "body", "column", "content", "entry", "main", "page", "post", "story", "text"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+CLOSED_BY_BLOCK = {"p"} | HEADINGS
 ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SHORT = 25
+#: Points from which a block with an unwanted name counts as large.
+LARGE = 10
+
+
+@dataclass(frozen=True)
+class Mark:
+    """What a class, id or role says against a block: how much (0 the most), where, and around what it stands."""
+
+    level: int
+    names: str
+    in_main: bool
+    outer: object
+
+    def kept(self, names):
+        """Whether the block stays, given the (level, names, in_main) that do."""
+        if (self.level, self.names, self.in_main) not in names:
+            return False
+        outer = self.outer
+        while outer is not None:
+            if outer.level < 2 and (outer.level, outer.names, outer.in_main) not in names:
+                return False
+            outer = outer.outer
+        return True
+
+
+def _level(tag, attributes):
+    """(level, names) of a block's class, id and role: 0 readers' texts, 1 a name of unwanted words only, 2 a name
+    with one, 3 the same beside a word for content; None if nothing is unwanted."""
+    if tag in ("html", "body"):
+        return None
+    names = [n for m in _name.findall(attributes) for n in "".join(m).lower().split()]
+    words = [set(w) for n in names if (w := _parts.findall(n)) and w[0] not in STATES]
+    unwanted = UNWANTED - {"header", "masthead"} if tag in HEADINGS else UNWANTED
+    found = [w for w in words if w & unwanted]
+    if any(w <= unwanted for w in found):
+        level = 0 if any(w & READERS for w in found) else 1
+    elif not found or tag in HEADINGS:
+        return None
+    else:
+        level = 0 if any(w & READERS for w in found) else 3 if any(w & CONTENT for w in words) else 2
+    return level, " ".join([tag, *names])
+
+
+def _points(text, tag):
+    """Points of a block of text: one, one for each comma and up to three for its length."""
+    return 1 + text.count(",") + min(len(text) // 100, 3) if len(text) >= SHORT and tag in PARAGRAPHS else 0
 
 
 @dataclass
@@ -42,6 +94,8 @@ class Node:
     tag: str
     parent: object
     dropped: bool
+    mark: object = None
+    in_main: bool = False
     score: float = 0.0
     chars: int = 0
     linked: int = 0
@@ -59,6 +113,7 @@ class Page:
         self.in_link = 0
         self._read(html)
         self._end_block()
+        self._decide()
         self._score()
 
     def _read(self, html):
@@ -99,13 +154,12 @@ class Page:
             self._leave(ITEMS[tag], {"ul", "ol", "dl", "table", "menu"} | MAIN)
         elif self.here.tag in CLOSED_BY_BLOCK:
             self.here = self.here.parent
-        unwanted = tag in DROPPED or any(
-            UNWANTED & set(_parts.findall("".join(m).lower())) for m in _name.findall(attributes)) and tag not in ("html", "body")
-        if tag == "body" or tag in MAIN and not unwanted:
-            dropped = False
+        here, level = self.here, _level(tag, attributes) if attributes else None
+        if tag == "body" or tag in MAIN and level is None:
+            self.here = Node(tag, here, False, None, tag in MAIN or here.in_main)
         else:
-            dropped = self.here.dropped or unwanted
-        self.here = Node(tag, self.here, dropped)
+            mark = here.mark if level is None else Mark(*level, here.in_main, here.mark)
+            self.here = Node(tag, here, here.dropped or tag in DROPPED, mark, here.in_main)
         self.nodes.append(self.here)
 
     def _leave(self, tags, stop):
@@ -131,21 +185,50 @@ class Page:
         text = " ".join(unescape("".join(t for t, _ in self.inline)).split())
         if text:
             linked = sum(len(t) for t, link in self.inline if link)
-            self.blocks.append((text, self.here))
-            node = self.here
-            while node is not None:
-                node.chars += len(text)
-                node.linked += min(linked, len(text))
-                node = node.parent
+            self.blocks.append((text, self.here, min(linked, len(text))))
         self.inline = []
         self.in_link = 0
 
+    def _decide(self):
+        """Drop what a class, id or role marks, unless the page would lose its article by it.
+
+        Blocks of the same names count together, by the points of their paragraphs less the share of linked
+        characters. With a word for content they stay if they have more than all unmarked blocks; others only
+        if no unmarked block has any: first those with part of a name, else large ones with a whole name. What
+        stands outside an article or main element that has text stays out, and so do comments of readers.
+        """
+        plain, main, marked = 0.0, False, {}
+        for text, node, linked in self.blocks:
+            points = _points(text, node.tag) * (1 - linked / len(text))
+            mark = node.mark
+            if mark is None:
+                plain += points
+                main = main or node.in_main
+            else:
+                key = mark.level, mark.names, mark.in_main
+                marked[key] = marked.get(key, 0.0) + points
+        if not marked:
+            return
+        for level, least in ((3, plain), (2, 0.0), (1, LARGE)):
+            names = {k for k, p in marked.items()
+                     if k[0] == level and p > least and (k[2] or not main) and (level == 3 or plain == 0)}
+            if names:
+                break
+        for node in self.nodes:
+            node.dropped = node.dropped or node.mark is not None and not node.mark.kept(names)
+        self.blocks = [b for b in self.blocks if not b[1].dropped]
+
     def _score(self):
         """Each paragraph gives its points to its container in full, to the one above half, and so on."""
-        for text, node in self.blocks:
-            if len(text) < SHORT or node.tag not in PARAGRAPHS:
+        for text, node, linked in self.blocks:
+            while node is not None:
+                node.chars += len(text)
+                node.linked += linked
+                node = node.parent
+        for text, node, _ in self.blocks:
+            points = _points(text, node.tag)
+            if not points:
                 continue
-            points = 1 + text.count(",") + min(len(text) // 100, 3)
             target = node.parent if node.tag in ("p", "pre", "blockquote", "td", "li", "dd", "figcaption") else node
             level = 0
             while target is not None and target is not self.root and level < 4:
@@ -169,7 +252,7 @@ class Page:
                     dense = node.linked / node.chars if node.chars else 1
                     if node.score >= least or node.tag == "p" and node.chars > 80 and dense < 0.25:
                         kept.add(id(node))
-        return " ".join(t for t, node in self.blocks if self._inside(node, kept))
+        return " ".join(t for t, node, _ in self.blocks if self._inside(node, kept))
 
     def _area(self, node):
         """The article or main element around a node."""
@@ -204,7 +287,8 @@ def extract_text(pages):
     """One row per row of ``pages`` (page_id, url, html): (page_id, url, text, n_chars).
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments of readers go, by
-    element or by a word in their class, id or role. Of the rest, a paragraph of at least ``SHORT`` characters
+    element or by a word in their class, id or role; the words alone do not remove what the page's article
+    stands in (``Page._decide``). Of the rest, a paragraph of at least ``SHORT`` characters
     gives one point, one for each comma and up to three for its length to its container, half to the next, and
     less further up; each container's sum is discounted by the share of linked characters. The best container
     (or the article around it) and siblings with a fifth of its score are the main text: all their blocks in

@@ -24,6 +24,19 @@ def test_pages(inner, text):
     assert main_text(SHELL.format(inner, LONG)) == text
 
 
+@pytest.mark.parametrize("inner,text", [
+    (f"<div class='content has-sidebar'><p>{LONG}</p><p>Short.</p></div>", f"{LONG} Short."),
+    (f"<div id=main class='no-sidebar'><p>{LONG}</p></div><div class=site-footer><p>{LONG} f</p></div>", LONG),
+    (f"<section class=search-article><p>{LONG}</p></section><section class=search-article><p>{LONG} b</p></section>", f"{LONG} {LONG} b"),
+    (f"<div class=page-widget><div class='comment-list'><p>{LONG} c</p></div><p>{LONG}</p></div>", LONG),
+    (f"<article><h2 class=section-header>Head</h2><p>{LONG}</p><div class=related-posts><p>{LONG} r</p></div></article>", f"Head {LONG}"),
+    (f"<div class=widget><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG} {LONG} {LONG}"),
+    (f"<article>Short</article><div class=content-widget><p>{LONG}</p></div>", "Short"),
+])
+def test_names_do_not_remove_the_article(inner, text):
+    assert main_text(SHELL.format(inner, LONG)) == text
+
+
 @pytest.mark.parametrize("html,text", [
     (None, ""), ("", ""), ("plain words", "plain words"), ("<p>cut <b", "cut"), (f"<div class=ad><p>{LONG}<article><p>{LONG} in</p>", f"{LONG} in"),
     ("<script>only", ""), ("<p>a</p></div></p>b", "a b"), ("<!-- open", ""), (f"<article><p>{LONG} tail <a href='x", f"{LONG} tail"),
