@@ -38,6 +38,7 @@ READERS = {"comment", "comments", "disqus", "reply", "replies", "respond"}
 STATES = {"has", "no", "with", "without"}
 CONTENT = {"article", "body", "column", "content", "entry", "main", "page", "post", "story", "text"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+LISTS = {"ul", "ol", "dl"}
 CLOSED_BY_BLOCK = {"p"} | HEADINGS
 ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SHORT = 25
@@ -246,14 +247,28 @@ class Page:
             while best.tag not in MAIN and (area := self._area(best)) is not None:
                 best = area
             kept = {id(best)}
-            least = max(10.0, 0.2 * best.score)
-            for node in self.nodes:
-                if node.parent is best.parent and node is not best and not node.dropped:
-                    dense = node.linked / node.chars if node.chars else 1
-                    if node.score >= least or node.tag == "p" and node.chars > 80 and dense < 0.25:
-                        kept.add(id(node))
+            least = max(10.0, 0.2 * best.score) if best.tag in MAIN else 0.2 * best.score
+            beside = [n for n in self.nodes if n.parent is best.parent and (n is best or not n.dropped and n.chars)]
+            for node in beside:
+                if node.score >= least or node.tag == "p" and node.chars > 80 and node.linked < 0.25 * node.chars:
+                    kept.add(id(node))
+            if best.tag not in MAIN:
+                kept |= self._between(beside, kept)
         return " ".join(t for t, node, _ in self.blocks if self._inside(node, kept))
 
+    @staticmethod
+    def _between(beside, kept):
+        """Siblings of few links between kept ones, headings and paragraphs that lead to the first, and lists and
+        paragraphs that follow the last."""
+        good = [id(n) in kept or n.linked < 0.25 * n.chars for n in beside]
+        places = [i for i, n in enumerate(beside) if id(n) in kept]
+        first, last = places[0], places[-1]
+        while first and good[first - 1] and beside[first - 1].tag in HEADINGS | {"p"}:
+            first -= 1
+        while last + 1 < len(beside) and good[last + 1] and beside[last + 1].tag in LISTS | {"p", "pre", "blockquote", "table"}:
+            last += 1
+        return {id(n) for n, g in zip(beside[first : last + 1], good[first : last + 1]) if g}
+
     def _area(self, node):
         """The article or main element around a node."""
         while node.parent is not None:
@@ -291,9 +306,10 @@ def extract_text(pages):
     stands in (``Page._decide``). Of the rest, a paragraph of at least ``SHORT`` characters
     gives one point, one for each comma and up to three for its length to its container, half to the next, and
     less further up; each container's sum is discounted by the share of linked characters. The best container
-    (or the article around it) and siblings with a fifth of its score are the main text: all their blocks in
-    page order. Without any scoring paragraph, the article element or else the whole page counts. Null, empty
-    and textless pages give an empty text; cut or badly nested markup ends where the next block says so.
+    (or the article around it) and siblings with a fifth of its score are the main text, without an article
+    element also headings, lists and blocks of few links between or beside them: all their blocks in page
+    order. Without any scoring paragraph, the article element or else the whole page counts. Null, empty and
+    textless pages give an empty text; cut or badly nested markup ends where the next block says so.
     Repeated rows keep rows of their own; other columns are not looked at. One scan, no shuffle.
     """
     rows = pages.select("page_id", "url", "html")

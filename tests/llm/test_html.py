@@ -37,6 +37,14 @@ def test_names_do_not_remove_the_article(inner, text):
     assert main_text(SHELL.format(inner, LONG)) == text
 
 
+def test_small_sections_stay():
+    one, two = "".join(f"<p>{LONG}</p>" for _ in range(3)), f"<p>{LONG}</p><p>{LONG}</p>"
+    inner = (f"<h1>Title</h1><section>{one}</section><h2>Next</h2><div>A short block</div><div><a href=x>Only a link</a></div>"
+             f"<section>{two}</section><ul><li>a<li>b</ul><p>End.</p><div>Imprint</div>")
+    expected = f"Title {' '.join([LONG] * 3)} Next A short block {LONG} {LONG} a b End."
+    assert main_text(SHELL.format(inner, LONG)) == expected
+
+
 @pytest.mark.parametrize("html,text", [
     (None, ""), ("", ""), ("plain words", "plain words"), ("<p>cut <b", "cut"), (f"<div class=ad><p>{LONG}<article><p>{LONG} in</p>", f"{LONG} in"),
     ("<script>only", ""), ("<p>a</p></div></p>b", "a b"), ("<!-- open", ""), (f"<article><p>{LONG} tail <a href='x", f"{LONG} tail"),
