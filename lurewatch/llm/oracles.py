@@ -57,4 +57,87 @@ ORACLES = {
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM documents LEFT JOIN sizes USING (doc_id) JOIN roots ON roots.d = doc_id
     """,
+    "op12_source_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+        ),
+        each AS (SELECT r, lang, source, unnest(words) AS term FROM docs),
+        kept AS (SELECT lang, term FROM each GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+        counted AS (SELECT lang, source, term, count(*) AS n FROM each JOIN kept USING (lang, term) GROUP BY ALL),
+        pairs_of AS (SELECT DISTINCT lang, source FROM docs),
+        sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        dense AS (
+            SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n
+            FROM pairs_of g JOIN kept k USING (lang) LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ),
+        own AS (
+            SELECT lang, source, term, n,
+                1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p
+            FROM dense JOIN sizes USING (lang)
+        ),
+        whole AS (
+            SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q
+            FROM (SELECT lang, term, sum(n) AS n FROM counted GROUP BY ALL) JOIN sizes USING (lang)
+        ),
+        apart AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ),
+        parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM pairs_of a JOIN pairs_of b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+        ),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM parts
+        )
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+    """,
+    "op11_itq_embedding_dedup": """
+        WITH RECURSIVE vectors AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        links AS (
+            SELECT a.vec_id AS u, b.vec_id AS v FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+        ),
+        reach(vec_id, root) AS (
+            SELECT vec_id, vec_id FROM embeddings
+            UNION
+            SELECT l.v, r.root FROM reach r JOIN links l ON l.u = r.vec_id
+        ),
+        roots AS (SELECT vec_id, min(root) AS component_id FROM reach GROUP BY vec_id),
+        counts AS (SELECT u AS vec_id, count(*) AS n FROM links GROUP BY u)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM roots LEFT JOIN counts USING (vec_id)
+    """,
+    "op13_hard_negatives": """
+        WITH given AS (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+            SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM given a JOIN given b ON a.id <> b.id WHERE a.id % 100 = 0
+        ),
+        positives AS (
+            SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+        )
+        SELECT anchor_id, positive_id,
+            row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+            id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        QUALIFY rank <= 5
+    """,
 }

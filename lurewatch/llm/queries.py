@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from lurewatch.llm import (
-    chat, decontamination, exact_dedup, html, language, licenses, near_dedup, packing, pii, quality,
+    chat, decontamination, divergence, embedding_dedup, exact_dedup, hard_negatives, html, language, licenses, near_dedup,
+    packing, pii, quality,
 )
 
 
@@ -68,6 +69,20 @@ def op10_language_id(spark, sf_dir):
         "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_itq_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.similar_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.audit_sources(_documents(spark, sf_dir))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -76,5 +91,6 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_pii, op2_best_fit_packing, op3_license_scan, op4_chat_formatting, op5_benchmark_decontamination, op6_quality,
-    op7_minhash_near_dedup, op8_html_extraction, op9_exact_dedup, op10_language_id, pipeline,
+    op7_minhash_near_dedup, op8_html_extraction, op9_exact_dedup, op10_language_id,
+    op11_itq_embedding_dedup, op12_source_divergence, op13_hard_negatives, pipeline,
 )}
