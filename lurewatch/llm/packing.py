@@ -1,6 +1,7 @@
 """Tokenised documents packed into sequences of bounded length by the sum-of-squares rule."""
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -20,13 +21,18 @@ GROUP_ROWS = 100_000
 # Fixed value: the pre-token pattern of this family of vocabularies.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# The pattern's look-ahead makes ``tiktoken`` back up over a whole run of white space, and its stack ends with runs of
+# several 100,000. Texts with a run of this length go to the file's own tokenizer.
+LONG_SPACE = 10_000
+_LONG_SPACE = re.compile(r"\s{%d}" % LONG_SPACE)
+
 
 class Tokens:
     """Token ids of whole texts as little-endian bytes.
 
     The vocabulary comes from a byte-level BPE file of the ``tokenizers`` library. Its ids are also the ranks
     of its merges, so ``tiktoken`` gives the same ids from it at several times the speed; texts that hold a
-    special token, which the file's own tokenizer treats apart, go to that tokenizer.
+    special token, which the file's own tokenizer treats apart, or very long white space go to that tokenizer.
     """
 
     def __init__(self, path):
@@ -45,7 +51,7 @@ class Tokens:
     def __call__(self, text):
         if not text:
             return b""
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or len(text) >= LONG_SPACE and _LONG_SPACE.search(text):
             return np.array(self.original.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 

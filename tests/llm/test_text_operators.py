@@ -72,6 +72,23 @@ def test_tokens_are_those_of_the_library(spark, sf):
         assert tokens(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\t", "\u00a0", " \n"])
+@pytest.mark.parametrize("form", ["{}", "a{}", "{}a", "a{}b"])
+def test_tokens_of_very_long_white_space(space, form):
+    tokens, library = packing.Tokens(BPE), Tokenizer.from_file(BPE)
+    for n in (1_000_000, packing.LONG_SPACE, packing.LONG_SPACE - 1):
+        text = form.format(space * (n // len(space)))
+        assert tokens(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_very_long_white_space_is_packed(spark):
+    docs = spark.createDataFrame([(1, " " * 1_000_000), (2, "a" + "\n" * 1_000_000 + "b"), (3, "x")], "doc_id bigint, text string")
+    rows = packing.pack_documents(docs, BPE).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    library = Tokenizer.from_file(BPE)
+    assert {r["doc_id"]: r["n"] for r in rows} == {
+        r["doc_id"]: len(library.encode(r["text"], add_special_tokens=False).ids) + 1 for r in docs.collect()}
+
+
 @pytest.mark.parametrize("n,points", [(1, [(0, 1)]), (1024, [(0, 1024)]), (1025, [(0, 1), (1, 1024)]), (2500, [(0, 452), (452, 1024), (1476, 1024)])])
 def test_cut_points(n, points):
     assert packing.cut_points(n) == points
