@@ -26,3 +26,14 @@ def test_all_have_sql():
 def test_entry(spark):
     rows = entry.entry(spark)
     assert {"msg_id", "result", "risk_level", "tier_used"} <= set(rows.columns)
+
+
+def test_a_missing_dependency_leaves_the_other_queries(tmp_path):
+    """In a process of its own, without the modules that only the optional subpackage needs."""
+    import subprocess
+    import sys
+
+    code = ("import sys; sys.modules['ahocorasick'] = None; sys.modules['tokenizers'] = None\n"
+            "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))")
+    out = subprocess.run([sys.executable, "-c", code], cwd=entry.os.path.dirname(entry.__file__), capture_output=True, text=True)
+    assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLES))], out.stderr
