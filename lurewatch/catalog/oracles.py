@@ -576,8 +576,8 @@ WITH {_URL_SPLIT}, tested AS (SELECT label FROM split WHERE is_test) {_SUPPORTS}
 ORACLES["score_url"] = f"WITH {FORMS} SELECT page_id, form, true AS consistent FROM forms"
 ORACLES["score_text"] = """
 SELECT doc_id, true AS consistent, CAST(length(coalesce(text, '')) AS INTEGER) AS text_length FROM documents"""
-ORACLES["early_stopping"] = "SELECT i::INTEGER AS n_trees, true AS in_range FROM range(1, 6) t(i)"
-ORACLES["feature_importance"] = "SELECT 10::BIGINT AS n_features, true AS sorted"
+ORACLES["early_stopping"] = "SELECT true AS ended_rightly, true AS best_trees_kept, true AS in_range"
+ORACLES["feature_importance"] = "SELECT 10::BIGINT AS n_features, true AS sorted, true AS shares"
 ORACLES["cv_auc"] = "SELECT 5::BIGINT AS n_folds, true AS in_range, true AS as_by_library"
 ORACLES["analyze"] = f"""
 WITH {I.MESSAGES_SQL} SELECT msg_id, true AS has_result, true AS consistent FROM messages

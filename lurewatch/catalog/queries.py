@@ -17,7 +17,6 @@ from lurewatch.operators import mail as M
 from lurewatch.operators import routing as R
 from lurewatch.operators import sampling as SA
 from lurewatch.operators import texts as X
-from lurewatch.operators import training as G
 from lurewatch.operators import urls as UO
 from lurewatch.operators import verdict_cache as C
 from lurewatch.operators.experts import call_expert, expert_results
@@ -271,17 +270,15 @@ def tfidf_transform(spark, sf):
 
 # -- models ----------------------------------------------------------------------------------------
 
-# Few and shallow trees keep the check quick; the defaults of the package are those of the constants.
-SMALL = {"maxIter": 5, "maxDepth": 3}
+
 def _url_training(spark, sf):
     rows = I.labelled_urls(spark, sf)
-    return _once(spark, sf, "url", lambda: train_url_detector(rows, "page_id", cv=False, **SMALL))
+    return _once(spark, sf, "url", lambda: train_url_detector(rows, "page_id"))
 
 
 def _text_training(spark, sf):
     rows = I.labelled_documents(spark, sf)
-    config = X.TextConfig(max_features=300)
-    return _once(spark, sf, "text", lambda: train_text_detector(rows, "doc_id", config, **SMALL))
+    return _once(spark, sf, "text", lambda: train_text_detector(rows, "doc_id"))
 
 
 @query
@@ -308,38 +305,43 @@ def _in_range(name):
     return F.coalesce(F.col(name).between(0, 1), F.lit(True))
 
 
-def _featured_urls(spark, sf):
-    rows = UO.url_features(I.labelled_urls(spark, sf)).drop("url")
-    return UrlDetector.assembler().transform(rows).select("page_id", "label", G.FEATURES)
-
-
 @query
 def early_stopping(spark, sf):
-    """One row per tree; whether its validation AUC lies in 0 to 1."""
-    rows = SA.stratified_split(_featured_urls(spark, sf), ids="page_id")
-    rows = materialise(rows, "stages")
-    model = G.booster(**SMALL).fit(rows.filter(~F.col("is_test")))
-    stages = G.auc_by_tree(model, rows.filter("is_test"))
-    return stages.select("n_trees", _in_range("auc").alias("in_range"))
+    """How the url training ended: whether patience, the last round or a lack of splits ended it, whether the model has
+    the trees up to the first best round, and whether the metrics lie in 0 to 1."""
+    report = _url_training(spark, sf)
+    history, kept = report.fit.history, report.fit.n_trees
+    last, block = K.BOOSTER["num_boost_round"], K.BOOSTER["bagging_freq"]
+    ended = {"patience": kept + K.PATIENCE <= len(history) < kept + K.PATIENCE + block, "rounds": len(history) == last,
+             "no split": len(history) < kept + K.PATIENCE and kept <= len(history)}[report.fit.ended_by]
+    first_best = not history or history.index(max(history)) + 1 == kept
+    trees = report.detector.model.getNumTrees == kept
+    stages = report.auc.select(F.lit(history).cast("array<double>").alias("auc"))
+    return stages.select(
+        F.lit(bool(ended)).alias("ended_rightly"), F.lit(bool(first_best and trees)).alias("best_trees_kept"),
+        F.forall("auc", lambda x: x.between(0, 1)).alias("in_range"))
 
 
 @query
 def cv_auc(spark, sf):
-    """Folds of a cross-validation, their AUCs in 0 to 1, and the AUC of one fold as the library's evaluator has it."""
-    rows = materialise(SA.assign_folds(_featured_urls(spark, sf), ids="page_id"), "folds")
-    folds = materialise(G.cross_validate(rows, 3, maxDepth=3), "fold-auc")
-    model = G.booster(maxIter=3, maxDepth=3).fit(rows.filter("fold <> 0"))
-    scored = model.transform(rows.filter("fold = 0"))
-    evaluator = BinaryClassificationEvaluator(rawPredictionCol=G.RAW, labelCol="label", numBins=0)
-    same = F.abs(F.max(F.when(F.col("fold") == 0, F.col("auc"))) - evaluator.evaluate(scored)) < 1e-9
-    return folds.agg(F.count(F.lit(1)).alias("n_folds"), F.bool_and(_in_range("auc")).alias("in_range"), F.coalesce(same, F.lit(True)).alias("as_by_library"))
+    """Folds of the url training's cross-validation, their AUCs in 0 to 1, and whether the AUC of the test rows is that
+    of the library's evaluator."""
+    report = _url_training(spark, sf)
+    folds = report.cv_folds.agg(F.count(F.lit(1)).alias("n_folds"), F.bool_and(_in_range("auc")).alias("in_range"))
+    evaluator = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", numBins=0)
+    by_library = evaluator.evaluate(report.scored)
+    same = report.auc.select(F.coalesce(F.abs(F.col("auc") - by_library) < 1e-9, F.lit(True)).alias("as_by_library"))
+    return folds.crossJoin(F.broadcast(same))  # one row each
 
 
 @query
 def feature_importance(spark, sf):
-    """The heaviest features of the trained url model: how many, and whether heaviest first."""
-    rows = _url_training(spark, sf).importance.agg(F.collect_list("importance").alias("w"))  # ten numbers
-    return rows.select(F.size("w").cast("bigint").alias("n_features"), (F.col("w") == F.sort_array("w", asc=False)).alias("sorted"))
+    """The heaviest features of the trained url model: how many, whether heaviest first, and whether all shares make 1."""
+    report = _url_training(spark, sf)
+    total = sum(w for _, w in report.detector.importances())
+    rows = report.importance.agg(F.collect_list("importance").alias("w"))  # ten numbers
+    return rows.select(F.size("w").cast("bigint").alias("n_features"), (F.col("w") == F.sort_array("w", asc=False)).alias("sorted"),
+                       F.lit(total == 0 or abs(total - 1) < 1e-9).alias("shares"))
 
 
 @query

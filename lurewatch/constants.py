@@ -76,8 +76,9 @@ MISSING_CELLS = [
 # -- Training ----------------------------------------------------------------
 # Booster settings that Spark's boosted trees can express.
 BOOSTER = {
-    "maxIter": 500, "stepSize": 0.05, "maxDepth": 6, "minInstancesPerNode": 20, "minInfoGain": 0.01,
-    "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8",
+    "num_boost_round": 500, "learning_rate": 0.05, "max_depth": 6, "num_leaves": 31, "min_data_in_leaf": 20,
+    "min_gain_to_split": 0.01, "lambda_l1": 0.1, "lambda_l2": 0.1, "feature_fraction": 0.8, "bagging_fraction": 0.8,
+    "bagging_freq": 5,
 }
 PATIENCE = 50
 TEST_FRACTION = 0.2

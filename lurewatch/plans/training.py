@@ -26,6 +26,7 @@ class TrainingReport:
     report: object
     confusion: object
     auc: object
+    scored: object
     cv_folds: object = None
     importance: object = None
     settings: dict = field(default_factory=dict)
@@ -53,7 +54,8 @@ def _parts(df, ids, test_fraction, seed, reuse_test):
 
 
 def _fit_and_valid(rows, reuse_test):
-    return rows.filter("part = 'fit'"), rows.filter(F.col("part") == ("test" if reuse_test else "valid"))
+    """The rows with the part each plays in boosting."""
+    return rows.withColumn("part", F.when(F.col("part") == ("test" if reuse_test else "valid"), "valid").when(F.col("part") == "fit", "fit"))
 
 
 def _evaluate(detector_model, test):
@@ -63,7 +65,7 @@ def _evaluate(detector_model, test):
 
 
 def _finish(detector, fit, rows, test, n_features, **extra):
-    scored = _evaluate(detector.model, test)
+    scored = materialise(_evaluate(detector.model, test), "scored-test")
     return TrainingReport(
         detector=detector,
         fit=fit,
@@ -73,31 +75,32 @@ def _finish(detector, fit, rows, test, n_features, **extra):
         report=V.classification_report(scored),
         confusion=V.confusion_matrix(scored),
         auc=V.roc_auc(scored),
+        scored=scored,
         **extra,
     )
 
 
 def train_url_detector(
     df, ids, suffixes=None, test_fraction=K.TEST_FRACTION, seed=K.SEED, reuse_test_as_valid=False,
-    patience=K.PATIENCE, metric="auc", cv=True, path=None, **settings,
+    patience=K.PATIENCE, metric="auc", cv=True, path=None, state=None, **settings,
 ):
     """Train the url classifier on (ids, url, label) rows.
 
     Features are computed once and written to the shared folder: every later step reads 18 numbers a row
     and never the urls again. ``settings`` override booster settings; ``reuse_test_as_valid`` lets the test
-    rows steer early stopping.
+    rows steer early stopping; with a folder ``state`` an interrupted boosting goes on where it was saved last.
     """
     spark = df.sparkSession
     featured = url_features(df.select(ids, "url", "label"), "url", suffixes).drop("url")
     assembled = UrlDetector.assembler().transform(featured).select(ids, "label", G.FEATURES)
     rows = _parts(assembled, ids, test_fraction, seed, reuse_test_as_valid)
     settings = {**settings, "seed": seed}
-    fit = G.fit_booster(*_fit_and_valid(rows, reuse_test_as_valid), patience, metric, **settings)
+    fit = G.fit_booster(_fit_and_valid(rows, reuse_test_as_valid), ids, patience, metric, state, **settings)
     detector = UrlDetector.from_model(fit.model, suffixes=suffixes)
     folds = None
     if cv:
         folded = materialise(assign_folds(rows.drop("is_test", "part"), ids=ids), "folds")
-        folds = G.cross_validate(folded, fit.n_trees, **settings)
+        folds = G.cross_validate(folded, ids, fit.n_trees, **settings)
     if path is not None:
         detector.save(
             spark, path, model_metadata(rows, "gbt_url", "Lexical url features with boosted trees", len(K.URL_FEATURES))
@@ -110,7 +113,7 @@ def train_url_detector(
 
 def train_text_detector(
     df, ids, config=TextConfig(), test_fraction=K.TEST_FRACTION, seed=K.SEED, reuse_test_as_valid=False,
-    patience=K.PATIENCE, metric="auc", path=None, sample_size=None, **settings,
+    patience=K.PATIENCE, metric="auc", path=None, sample_size=None, state=None, **settings,
 ):
     """Train the text classifier on (ids, text, label) rows. The vocabulary comes from the training rows only.
 
@@ -123,7 +126,7 @@ def train_text_detector(
     rows = vectorizer.transform(split, "text", G.FEATURES).select(ids, "label", "is_test", "part", G.FEATURES)
     rows = materialise(rows, "text-train")
     settings = {**settings, "seed": seed}
-    fit = G.fit_booster(*_fit_and_valid(rows, reuse_test_as_valid), patience, metric, **settings)
+    fit = G.fit_booster(_fit_and_valid(rows, reuse_test_as_valid), ids, patience, metric, state, **settings)
     detector = TextDetector.from_model(vectorizer, fit.model)
     if path is not None:
         metadata = model_metadata(

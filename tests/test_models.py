@@ -8,7 +8,7 @@ from lurewatch import constants as K
 from lurewatch.catalog import queries as Q
 from lurewatch.operators import sampling as SA
 from lurewatch.operators import texts as X
-from lurewatch.operators import training as G
+from lurewatch.operators import boosting as B
 from lurewatch.session import scratch_path
 from lurewatch.sources import tables as S
 from lurewatch.sources.models import TextDetector, UrlDetector
@@ -107,13 +107,13 @@ def test_vectorizing_needs_no_shuffle_and_no_python(spark, sf):
     ([0.5, 0.6, 0.7, 0.7, 0.7], 2, 3), ([0.5, 0.4, 0.4, 0.9], 2, 1), ([0.5, 0.4, 0.9], 2, 3), ([0.5], 50, 1),
 ])
 def test_patience(values, patience, kept):
-    assert G.best_stage(values, patience, True) == kept
+    assert B.best_stage(values, patience, True) == kept
 
 
 def test_url_training_on_separable_data(spark):
     rows = [(i, f"http://{'secure-login.tk' if i % 2 else 'www.example.com'}/{i}", i % 2) for i in range(240)]
     df = spark.createDataFrame(rows, "page_id int, url string, label int")
-    report = Q.train_url_detector(df, "page_id", maxIter=4, maxDepth=2, reuse_test_as_valid=True)
+    report = Q.train_url_detector(df, "page_id", num_boost_round=4, max_depth=2, reuse_test_as_valid=True)
     assert report.auc.first()["auc"] > 0.95
     assert report.cv_folds.count() == K.N_FOLDS
     assert 1 <= report.fit.n_trees <= 4 and len(report.fit.history) == 4
