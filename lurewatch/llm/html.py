@@ -13,9 +13,9 @@ _cut_tag = re.compile(r"</?[a-zA-Z][^<>]*$|<!?$")
 _name = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _parts = re.compile(r"[a-z0-9]+")
 
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object"}
+RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "object"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-DROPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "fieldset"}
+DROPPED = {"nav", "header", "footer", "aside", "button", "select", "dialog", "menu", "head", "fieldset"}
 MAIN = {"article", "main"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt",
@@ -69,14 +69,16 @@ class Mark:
 
 def _level(tag, attributes):
     """(level, names) of a block's class, id and role: 0 readers' texts, 1 a name of unwanted words only, 2 a name
-    with one, 3 the same beside a word for content; None if nothing is unwanted."""
+    with one, 3 the same beside a word for content, or a form; None if nothing is unwanted."""
     if tag in ("html", "body"):
         return None
     names = [n for m in _name.findall(attributes) for n in "".join(m).lower().split()]
     words = [set(w) for n in names if (w := _parts.findall(n)) and w[0] not in STATES]
     unwanted = UNWANTED - {"header", "masthead"} if tag in HEADINGS else UNWANTED
     found = [w for w in words if w & unwanted]
-    if any(w <= unwanted for w in found):
+    if not found and tag == "form":
+        level = 3
+    elif any(w <= unwanted for w in found):
         level = 0 if any(w & READERS for w in found) else 1
     elif not found or tag in HEADINGS:
         return None
@@ -138,7 +140,14 @@ class Page:
             else:
                 self._open(tag, found[3])
 
+    def _end_head(self):
+        """A head without an end ends where something begins that cannot stand in it."""
+        if self.here.tag == "head":
+            self.here = self.here.parent
+
     def _text(self, text):
+        if self.here.tag == "head" and text.strip():
+            self._end_head()
         if text and not self.here.dropped:
             self.inline.append((text, self.in_link > 0))
 
@@ -151,11 +160,12 @@ class Page:
             self.in_link += tag == "a"
             return
         self._end_block()
+        self._end_head()
         if tag in ITEMS:
             self._leave(ITEMS[tag], {"ul", "ol", "dl", "table", "menu"} | MAIN)
         elif self.here.tag in CLOSED_BY_BLOCK:
             self.here = self.here.parent
-        here, level = self.here, _level(tag, attributes) if attributes else None
+        here, level = self.here, _level(tag, attributes) if attributes or tag == "form" else None
         if tag == "body" or tag in MAIN and level is None:
             self.here = Node(tag, here, False, None, tag in MAIN or here.in_main)
         else:
@@ -194,7 +204,7 @@ class Page:
         """Drop what a class, id or role marks, unless the page would lose its article by it.
 
         Blocks of the same names count together, by the points of their paragraphs less the share of linked
-        characters. With a word for content they stay if they have more than all unmarked blocks; others only
+        characters. Forms and blocks with a word for content stay if they have more than all unmarked blocks; others only
         if no unmarked block has any: first those with part of a name, else large ones with a whole name. What
         stands outside an article or main element that has text stays out, and so do comments of readers.
         """

@@ -62,3 +62,20 @@ def test_extract(spark):
     assert len(found) == 5 and [r["text"] for r in found if r["page_id"] == 1] == [LONG, LONG]
     assert {r["page_id"]: r["n_chars"] for r in found} == {1: len(LONG), None: 0, 3: 0, 4: 3000 * (len(LONG) + 1) - 1}
     assert extract_text(pages.limit(0)).count() == 0
+
+
+PASSAGE = "One sentence, with commas, that is long enough to count as a paragraph of an article, and then some more of it."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<form><div id=content><p>{PASSAGE}</p><p>{PASSAGE}</p></div></form>", f"{PASSAGE} {PASSAGE}"),
+    (f"<body><form action=/x><input name=a><div><p>{PASSAGE}</p></div><select><option>no</select></form>", PASSAGE),
+    (f"<body><div><p>{PASSAGE}</p><p>{PASSAGE}</p></div><form><p>Write to us, now, here, please do so</p></form>", f"{PASSAGE} {PASSAGE}"),
+    (f"<html><head><title>T</title><p>{PASSAGE}</p>", PASSAGE),
+    (f"<html><head><meta x=y><title>T</title><script>a<b</script>\n{PASSAGE} at the end", f"{PASSAGE} at the end"),
+    (f"<html><head><title>T</title></head><body><p>{PASSAGE}</p>", PASSAGE),
+    (f"<p>{PASSAGE} For <math><mi>x</mi><mo>=</mo><mn>2</mn></math> it holds.</p>", f"{PASSAGE} For x=2 it holds."),
+    (f"<p>{PASSAGE} See <svg><title>icon</title><text>label</text></svg> there.</p>", f"{PASSAGE} See label there."),
+])
+def test_forms_heads_and_formulas(page, text):
+    assert main_text(page) == text
