@@ -32,7 +32,7 @@ class AuditConfig:
 
     min_docs: int = 10
     top: int = 10
-    shard_bytes: int = 2 << 20
+    shard_bytes: int = 256 << 10
     pass_bytes: int = 64 << 20
     slots: int = 4 << 20
     block: int = 4096
@@ -210,10 +210,13 @@ def kept_terms(docs, config=AuditConfig()):
 
 
 def perfect_hashes(kept, config=AuditConfig()):
-    """(lang, shards, shard, n, hash): the kept terms of a language, in perfect hashes of bounded size."""
-    size = F.sum(F.octet_length("term") + 8)
-    shards = kept.groupBy("lang").agg(F.ceil(size / config.shard_bytes).alias("shards"))
-    placed = kept.join(shards, "lang").withColumn("shard", F.crc32(F.col("term").cast("binary")) % F.col("shards"))
+    """(lang, shards, shard, n, hash): the kept terms of a language, in perfect hashes of bounded size.
+
+    The number of shards follows from the size of all terms, so no task gets a whole language.
+    """
+    size = kept.agg(F.sum(F.octet_length("term") + 8)).first()[0] or 0
+    shards = F.lit(max(1, -(-size // config.shard_bytes))).cast("bigint")
+    placed = kept.withColumn("shards", shards).withColumn("shard", F.crc32(F.col("term").cast("binary")) % F.col("shards"))
     return placed.groupBy("lang", "shards", "shard").applyInPandas(
         _build, "lang string, shards bigint, shard bigint, n bigint, hash binary")
 
