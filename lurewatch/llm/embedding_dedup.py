@@ -37,7 +37,7 @@ def tables_for(n, config=EmbeddingConfig()):
 
     A bit of a code separates two vectors with probability angle / pi.
     """
-    bits = max(config.bits, ceil(log2(max(n, 2))))
+    bits = max(config.bits, ceil(log2(max(n, 2))) + 2)
     same = 1 - acos(config.cosine) / pi
     near = same**bits + bits * (1 - same) * same ** (bits - 1)
     return ceil(np.log(config.miss) / np.log(1 - near)), bits

@@ -66,7 +66,7 @@ def test_similar_vectors_find_the_links(spark, noise):
 
 
 def test_tables_grow_with_the_vectors():
-    assert E.tables_for(50_000)[1] == 16 and E.tables_for(10**9)[1] == 30
+    assert E.tables_for(10_000)[1] == 16 and E.tables_for(10**9)[1] == 32
     for n in (10, 10**5, 10**9):
         tables, bits = E.tables_for(n)
         same = 1 - np.arccos(0.95) / np.pi
