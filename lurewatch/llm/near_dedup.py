@@ -173,6 +173,8 @@ def near_components(docs, ids="doc_id", text="text", config=NearConfig()):
        pivot must share a known number of differences, so they share one of the rarest few (``_open_pairs``).
        Only such pairs are compared. No candidate pair is left out, and what all members of a group have in
        common does not pair them.
+
+    Very long texts are read whole, one at a time. Ties between pivots go to the smaller id. Ids are cast to bigint.
     """
     signed = materialise(signatures(docs, ids, text, config), "signed")
     held = signed.filter("_id is not null and n_shingles > 0")
@@ -240,7 +242,7 @@ def _open_pairs(vertices, groups, components, texts, config):
     with p, also c > (|D(y)| + k (|p| - |y|)) / 2. With all differences of a group in one order, rarest
     first, two vertices with c common ones share one among the first |D| - c + 1 of either; and after the first
     that they share, both must have enough places left for the others. Differences that only one vertex has
-    take up places but pair nobody.
+    take up places but pair nobody. Components are paired before their members are (``_meeting_components``).
     """
     s = config.percent / 100
     k = (1 - s) / (1 + s)
@@ -277,19 +279,47 @@ def _open_pairs(vertices, groups, components, texts, config):
         (~F.col("_linked") & (place <= F.col("_d") - F.greatest(least, F.lit(1)) + 1)).alias("_as_far"),
         (place <= F.col("_d") - least_far + 1).alias("_as_any"),
     ).filter("_as_far or _as_any"), "rare-differences")
-    far = ranked.filter("_as_far")
+    met = _meeting_components(ranked, k, config)
+    far = ranked.filter("_as_far").join(met, ["v", "_e", "_root"])
     others = ranked.filter("_as_any").select(
         "v", "_e", F.col("u").alias("_w"), F.col("_n").alias("_wn"), F.col("_root").alias("_w_root"),
         F.col("_d").alias("_wd"), F.col("_place").alias("_w_place"))
     slack = k * (F.col("_n") + F.col("_wn")) + 1e-6
     left = F.least(F.col("_d") - F.col("_place"), F.col("_wd") - F.col("_w_place")) + 1
-    found = far.join(others, ["v", "_e"]).filter(
-        (F.col("_root") != F.col("_w_root")) & _comparable(F.col("_n"), F.col("_wn"), config)
+    found = far.join(others, ["v", "_e", "_w_root"]).filter(
+        _comparable(F.col("_n"), F.col("_wn"), config)
         & (F.abs(F.col("_d") - F.col("_wd")) <= slack) & (2 * left >= F.col("_d") + F.col("_wd") - slack))
     pairs = found.select(F.greatest("u", "_w").alias("u"), F.least("u", "_w").alias("v")).distinct()
     return described.filter("_linked").select("u", "v"), materialise(pairs, "open-pairs")
 
 
+def _meeting_components(ranked, k, config):
+    """(v, _e, _root, _w_root): components with members at one difference of which some pair may be similar.
+
+    Members of one component are never paired. Each component is one row per difference with the bounds of its
+    members, so a difference that ten thousand members of one component have meets nothing, and two components
+    are joined only if the bounds leave a pair possible.
+    """
+    room = F.col("_d") - F.col("_place")
+    bounds = ranked.groupBy("v", "_e", "_root").agg(
+        F.min("_n").alias("_n0"), F.max("_n").alias("_n1"), F.min("_d").alias("_d0"), F.max("_d").alias("_d1"),
+        F.max(F.when(F.col("_as_far"), room)).alias("_far"), F.max(F.when(F.col("_as_any"), room)).alias("_any"))
+    bounds = materialise(bounds, "component-bounds")
+    several = bounds.groupBy("v", "_e").agg(
+        F.min("_root").alias("_low"), F.max("_root").alias("_high")).filter("_low <> _high").select("v", "_e")
+    bounds = materialise(bounds.join(several, ["v", "_e"], "left_semi"), "meeting-bounds")
+    others = bounds.filter("_any is not null").select(
+        "v", "_e", *[F.col(c).alias(f"_w{c}") for c in ("_root", "_n0", "_n1", "_d0", "_d1", "_any")])
+    c = F.col
+    slack = k * (c("_n1") + c("_w_n1")) + 1e-6
+    return bounds.filter("_far is not null").join(others, ["v", "_e"]).filter(
+        (c("_root") != c("_w_root"))
+        & (c("_n1") * 100 >= c("_w_n0") * config.percent) & (c("_w_n1") * 100 >= c("_n0") * config.percent)
+        & (F.greatest(c("_d0") - c("_w_d1"), c("_w_d0") - c("_d1")) <= slack)
+        & (2 * (F.least("_far", "_w_any") + 1) >= c("_d0") + c("_w_d0") - slack)
+    ).select("v", "_e", "_root", c("_w_root").alias("_w_root"))
+
+
 def drop_near_copies(docs, ids="doc_id", text="text", config=NearConfig()):
     """The rows of ``docs`` that ``near_components`` keeps, with all their columns."""
     gone = near_components(docs, ids, text, config).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lurewatch.llm import exact_dedup, graph, near_dedup
 from lurewatch.llm.words import alnum_words, space_words
@@ -124,6 +125,52 @@ def test_open_pairs_hold_every_link_between_components(spark, seed, edits):
     assert not any(a in linked and b in linked for a, b in found)
 
 
+def siblings(n, rng):
+    """``n`` near copies of two texts that share two thirds of their words, half of each."""
+    stem = [f"s{i}" for i in range(100)]
+    tails = [[f"{c}{i}" for i in range(50)] for c in "ab"]
+    rows = []
+    for i in range(n):
+        words = stem + tails[i % 2]
+        words[int(rng.integers(0, 150))] = f"n{i}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_copies_of_sibling_texts_are_paired_by_component(spark):
+    """What all of a component differ in from the pivot pairs none of its members."""
+    sizes = {}
+    for n in (60, 180):
+        rows = siblings(n, np.random.default_rng(5))
+        sets = {i: near_dedup.shingle_set(t, 4) for i, t in rows}
+        vertices = spark.createDataFrame([(i, len(s), 2 if i == 0 else 1) for i, s in sets.items()], "_id bigint, _n bigint, _popular bigint")
+        groups = spark.createDataFrame([(i, 0) for i in sets], "vertex bigint, root bigint")
+        components = spark.createDataFrame([(i, i % 2) for i in sets], "vertex bigint, root bigint")
+        seen = []
+        paired = near_dedup._meeting_components
+
+        def watched(*args):
+            seen.append((args[0], paired(*args)))
+            return seen[-1][1]
+
+        near_dedup._meeting_components = watched
+        try:
+            near_dedup._open_pairs(vertices, groups, components, spark.createDataFrame(rows, "_id bigint, _text string"), near_dedup.NearConfig())
+        finally:
+            near_dedup._meeting_components = paired
+        ranked, met = seen[0]
+        far, near = ranked.filter("_as_far").join(met, ["v", "_e", "_root"]), ranked.filter("_as_any")
+        others = near.select("v", "_e", F.col("_root").alias("_w_root"))
+        sizes[n] = far.join(others, ["v", "_e", "_w_root"]).count()
+    assert sizes[180] <= 4 * max(sizes[60], 60), sizes
+
+
+def test_near_copies_of_sibling_texts(spark):
+    rows = siblings(80, np.random.default_rng(6))
+    found = near_dedup.near_components(spark.createDataFrame(rows, "doc_id bigint, text string")).toArrow().to_pylist()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == near_by_hand(rows)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=60), st.integers(0, 1000))
 def test_circulant_signature_is_the_least_of_each_shift(values, seed):
