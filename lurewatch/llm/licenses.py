@@ -37,7 +37,7 @@ NOTICES = [
 @dataclass(frozen=True)
 class LicenseConfig:
     """A notice is found where neighbouring diagonals (at most ``shift`` apart) hold at least ``coverage`` of its
-    word pairs within a stretch at most ``stretch`` times its length."""
+    different word pairs within a stretch at most ``stretch`` times its length."""
 
     shift: int = 4
     coverage: float = 0.6
@@ -69,7 +69,7 @@ def _gram_batches(batches):
 
 
 def diagonals(docs, ids="doc_id", text="text"):
-    """Votes: (_row, doc_id, n_words, template, diagonal, votes, first, last), one null template row per text.
+    """Votes: (_row, doc_id, n_words, template, diagonal, votes, places), one null template row per text.
 
     All rolling word pairs of all texts meet the template positions in one broadcast join (the templates are
     part of this module, so their size is known). Votes are added up inside the task that reads the text.
@@ -82,7 +82,7 @@ def diagonals(docs, ids="doc_id", text="text"):
     met = grams.join(F.broadcast(template_table(docs.sparkSession)), "_gram", "left")
     return met.groupBy("_row", "doc_id", "n_words", "template", "length", "label", "base",
                        (F.col("_at") - F.col("place")).alias("diagonal")).agg(
-        F.count("place").alias("votes"), F.min("_at").alias("first"), F.max("_at").alias("last"))
+        F.count("place").alias("votes"), F.collect_set("place").alias("places"))
 
 
 def scan_licenses(docs, ids="doc_id", text="text", config=LicenseConfig()):
@@ -90,28 +90,30 @@ def scan_licenses(docs, ids="doc_id", text="text", config=LicenseConfig()):
 
     A diagonal is the place in the text less the place in the template. A base phrase stands where all its
     word pairs vote for one diagonal; every such place counts, also overlapping ones. A notice is a cluster of
-    neighbouring diagonals with enough votes. ``score`` is 1 with a base phrase, else the best coverage of a
-    notice, else 0. Texts without words (null, empty) have no places and empty labels; repeated rows and null
+    neighbouring diagonals that vote for enough of its places. ``score`` is 1 with a base phrase, else the best coverage of a
+    notice, else 0. Diagonals with a single vote count too, so words put in between do not hide a notice. Very
+    long texts are read whole; equal places of several templates all count. Texts without words (null, empty) have no places and empty labels; repeated rows and null
     ids keep rows of their own. No rows, no result rows. Other columns of ``docs`` are not looked at.
     """
     votes = diagonals(docs, ids, text)
     whole = F.col("base") & (F.col("votes") == F.col("length") - 1)
-    kept = votes.filter(F.col("template").isNull() | whole | (~F.col("base") & (F.col("votes") >= 2)))
+    kept = votes.filter(F.col("template").isNull() | whole | ~F.col("base"))
     places = kept.withColumn("_start", F.when(whole, F.col("diagonal")))
     along = Window.partitionBy("_row", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > config.shift, F.lit(True))
     clusters = places.withColumn("_apart", apart.cast("int")).withColumn("_cluster", F.sum("_apart").over(along))
-    spans = clusters.groupBy("_row", "doc_id", "n_words", "template", "_cluster", "length", "label", "base").agg(
-        F.sum("votes").alias("votes"), F.min("first").alias("_from"), F.max("last").alias("_to"),
-        F.count("_start").alias("_places"), F.min("_start").alias("_first"), F.max("_start").alias("_last"))
-    coverage = F.least(F.col("votes") / (F.col("length") - 1), F.lit(1.0))
-    close = F.col("_to") - F.col("_from") <= F.col("length") * config.stretch
-    notice = ~F.col("base") & close & (coverage >= config.coverage)
+    # What lies inside a cluster may be longer than a notice, so its best part within ``stretch`` counts.
+    drift = F.greatest(F.col("length") * (config.stretch - 1), F.lit(1.0))
+    reach = Window.partitionBy("_row", "template", "_cluster").orderBy("_scaled").rangeBetween(0, 1000)
+    together = F.size(F.array_distinct(F.flatten(F.collect_list("places").over(reach))))
+    spans = clusters.withColumn("_scaled", F.floor(F.col("diagonal") * 1000 / drift)).withColumn(
+        "_coverage", F.when(~F.col("base"), together / (F.col("length") - 1)))
+    based, notice = F.col("_start").isNotNull(), F.col("_coverage") >= config.coverage
     found = spans.groupBy("_row", "doc_id", "n_words").agg(
-        F.sum("_places").alias("n_base"), F.min("_first").alias("first_word"), F.max("_last").alias("last_word"),
-        F.array_sort(F.collect_set(F.when(F.col("_places") > 0, F.col("label")))).alias("_base"),
-        F.array_sort(F.collect_set(F.when((F.col("_places") > 0) | notice, F.col("label")))).alias("_all"),
-        F.coalesce(F.max(F.when(F.col("_places") > 0, F.lit(1.0)).when(notice, coverage)), F.lit(0.0)).alias("score"))
+        F.count("_start").alias("n_base"), F.min("_start").alias("first_word"), F.max("_start").alias("last_word"),
+        F.array_sort(F.collect_set(F.when(based, F.col("label")))).alias("_base"),
+        F.array_sort(F.collect_set(F.when(based | notice, F.col("label")))).alias("_all"),
+        F.coalesce(F.max(F.when(based, F.lit(1.0)).when(notice, F.col("_coverage"))), F.lit(0.0)).alias("score"))
     return found.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"),
         F.array_join("_all", ",").alias("labels"), "score")

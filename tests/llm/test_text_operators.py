@@ -267,6 +267,20 @@ def test_licences(spark):
     assert rows[0]["score"] == 1 and rows[2]["score"] == 0
 
 
+def test_broken_up_notice(spark):
+    """A word put in after every three and two words leaves runs with one and two votes, and stray pairs lie around."""
+    notice = dict(licenses.NOTICES)["mit"].split()
+    broken, at, step = [], 0, 3
+    while at < len(notice):
+        broken += notice[at : at + step] + ["zzz"]
+        at, step = at + step, 5 - step
+    stray = "the software of the to use in any person " * 400
+    texts = [" ".join(broken), stray + " ".join(notice) + " " + stray, stray, " ".join(notice[:12])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = {r["doc_id"]: r["labels"] for r in rows_of(licenses.scan_licenses(docs))}
+    assert labels == {0: "mit", 1: "mit", 2: "", 3: ""}
+
+
 def test_licences_awkward(awkward, nothing):
     assert licenses.scan_licenses(awkward).count() == 8
     assert licenses.scan_licenses(nothing).count() == 0
