@@ -19,9 +19,11 @@ PART_WORDS, PART_CHARS = 50_000, 1_000_000
 #: Discount of Kneser-Ney, and the share of probability for characters never seen in training.
 DISCOUNT = 0.75
 UNSEEN = 1e-6
-#: Characters from which a text counts as long, and the least excess in bits per character that rejects one.
+#: Characters from which a text counts as long, the share of calibration texts that sets the usual excess in bits
+#: per character, and the least excess that counts as usual.
 LONG = 1000
-LEAST_EXCESS = 0.5
+QUANTILE = 0.98
+LEAST_EXCESS = 0.25
 
 
 @dataclass(frozen=True)
@@ -32,7 +34,7 @@ class LanguageConfig:
     order: int = 4
     sample_rows: int = 1500
     calibration: int = 5
-    slack: float = 2.0
+    slack: float = 4.0
 
 
 def letter_runs(text):
@@ -229,23 +231,28 @@ class LanguageModels:
         return bits, size
 
     def calibrate(self, texts, names, order, slack):
-        """Per language the mean bits per character, and how far a text may lie above it: by the largest excess
-        of a calibration text of any language with at least ``LONG`` characters, times ``slack``; for shorter texts that limit grows
-        with the root of the missing length. A language without calibration texts rejects nothing.
+        """Per language the middle bits per character, and how far a text may lie above it.
+
+        How far is ``slack`` times the excess that ``QUANTILE`` of the calibration texts with at least ``LONG``
+        characters stay below, in the middle language by that excess, so neither a wrong label nor one badly
+        labelled language moves it much; for shorter texts that limit grows with the root of the missing length. A
+        language without calibration texts rejects nothing.
 
         Long texts vary by their content (repeats, passages in another language) and not by their length.
         """
         bits, size = self.cross_entropy(texts, order)
         names = np.array(names)
         self.limits = np.full((len(self.languages), 2), np.inf)
+        usual = []
         for k, name in enumerate(self.languages):
             own = (names == name) & (size > 0)
             if own.any():
-                b, n = bits[own, k], size[own]
-                mean = np.average(b, weights=n)
-                self.limits[k] = mean, (b - mean)[n >= LONG].max(initial=0.0)
-        far = self.limits[:, 1][np.isfinite(self.limits[:, 1])].max(initial=LEAST_EXCESS)
-        self.limits[:, 1] = np.where(np.isfinite(self.limits[:, 1]), slack * far, np.inf)
+                b, long = bits[own, k], size[own] >= LONG
+                self.limits[k, 0] = np.median(b[long]) if long.any() else np.median(b)
+                if long.any():
+                    usual.append(np.quantile(b[long] - self.limits[k, 0], QUANTILE))
+        far = slack * max(LEAST_EXCESS, sorted(usual)[(len(usual) - 1) // 2] if usual else 0.0)
+        self.limits[:, 1] = np.where(np.isfinite(self.limits[:, 0]), far, np.inf)
 
     def predict(self, texts, order):
         """(language, score, rejected) of each text."""
@@ -353,8 +360,8 @@ def identify(docs, models, ids="doc_id", text="text", config=LanguageConfig()):
 
     The language whose model gives the fewest bits per character; ``score`` is its posterior over at most 50
     characters at that rate. Null texts and texts without a letter are "und" with score 0, rejected. Other
-    rows are rejected if they are much less likely in their language than any calibration text of their
-    length. Equal texts have equal results; ties go to the first language by name. Without models (no
+    rows are rejected if they are much less likely in their language than calibration texts of their
+    length usually are. Very long texts are read whole, in parts. Equal texts have equal results; ties go to the first language by name. Without models (no
     labelled rows) all rows are "und". One scan, no shuffle; the models are bounded by the sample.
     """
     rows = docs.select(F.col(ids).alias("doc_id"), F.col(text).alias("_text"))
