@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -33,6 +34,18 @@ def hits_by_hand(text, items, size=10):
     return len(words), len(hit), sorted(ids)
 
 
+def test_automaton_of_words_near_its_limit():
+    """Its memory is a tenth of a gigabyte for a megabyte of items: no node more than the words of the windows."""
+    rng = np.random.default_rng(1)
+    items = [(i, " ".join(f"w{j}" for j in rng.integers(0, 5000, 60))) for i in range(300)]
+    automaton = decontamination.WindowAutomaton(items)
+    assert automaton.automaton.get_stats()["nodes_count"] <= 300 * 51 * 10 + 1
+    text = f"zzz {items[7][1]} w1 zzz " + items[9][1][:40]
+    spans, ids = automaton.scan(decontamination.alnum_words(text))
+    n, hit, wanted = hits_by_hand(text, items)
+    assert sum(e - s for s, e in spans) == hit and sorted(ids) == wanted
+
+
 ITEMS = [(3, "a b c d e f g h i j k l"), (20, "Short one"), (1, "é b é"), (7, ""), (8, None), (9, "short one")]
 
 
@@ -236,6 +249,23 @@ def test_held_out_rule(spark):
         assert r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
 
 
+def test_wrong_labels_do_not_open_the_rejection():
+    """One long text under another language's label leaves the limit where it is."""
+    rng = np.random.default_rng(4)
+    make = lambda letters: " ".join("".join(rng.choice(list(letters), 6)) for _ in range(200))
+    alphabets = {"a": "abcdefg", "b": "hijklmn", "c": "opqrstu"}
+    words = {k: Counter(language.letter_runs(" ".join(make(v) for _ in range(20)))) for k, v in alphabets.items()}
+    limits = []
+    for wrong in ([], [(make("abcdefg"), "b")]):
+        models = language.LanguageModels.fit(words, 3)
+        rows = [(make(v), k) for k, v in alphabets.items() for _ in range(60)] + wrong
+        models.calibrate([t for t, _ in rows], [n for _, n in rows], 3, 4.0)
+        limits.append(models.limits)
+        far = models.predict([make("vwxyzäö") for _ in range(10)] + [make(v) for v in alphabets.values()], 3)[2]
+        assert far == [True] * 10 + [False] * 3
+    assert np.allclose(*limits, atol=0.05)
+
+
 # licences
 
 def test_licences(spark):
