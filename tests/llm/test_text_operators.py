@@ -418,3 +418,22 @@ def test_pii_runs_no_python(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     plan = pii.find_pii(docs, pii.train(docs))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+
+
+def test_trees_add_spans_beyond_the_base_formats(spark):
+    """Local phone numbers and addresses without a dot are added; parts of words and failed checks are not."""
+    rng = np.random.default_rng(2)
+    digit = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    texts = []
+    for i in range(400):
+        parts = [f"write to u{i}@example.com", f"call +49 30 {digit(7)}", f"from 10.1.{i % 250}.7", f"token=a{digit(9)}f{digit(7)}b",
+                 "some words", "other words here", f"room {digit(3)}", f"phone +1 (212) 555-{digit(4)}"]
+        texts.append(". ".join(rng.permutation(parts)[: int(rng.integers(1, 6))]) + ".")
+    new = {1000: "please call (030) 555-12345 today", 1001: "mail root@localhost please", 1002: "token=ab1234567890cd",
+           1003: "host 300.2.3.4.5 and version 1.2.3"}
+    docs = spark.createDataFrame(list(enumerate(texts)) + list(new.items()), "doc_id bigint, text string")
+    trained = pii.train(docs)
+    assert trained is not None
+    found = {r["doc_id"]: [s for s in r["spans"] if not s["base"]] for r in rows_of(pii.find_pii(docs, trained))}
+    added = {i: [new[i][s["start"]:s["end"]] for s in found[i]] for i in new}
+    assert added == {1000: ["(030) 555-12345"], 1001: ["root@localhost"], 1002: [], 1003: []}
