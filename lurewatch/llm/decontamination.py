@@ -3,6 +3,7 @@
 from hashlib import sha256
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from lurewatch.session import materialise
 WINDOW = 10
 #: Bytes of benchmark texts that one automaton takes, some 120 MB a million; a larger benchmark is scanned in slices.
 AUTOMATON_BYTES = 1_500_000
+#: Places of the table of word pairs, as a power of two; one byte each.
+PAIR_BITS = 23
 
 
 def windows(words, size=WINDOW):
@@ -27,6 +30,10 @@ class WindowAutomaton:
 
     Words get numbers from 1; 0 stands for every word of a text that no item has, so no window holds it. A node
     is one word of one window, about a sixth of the nodes that characters would need.
+
+    The automaton looks at the next words of a node one after the other, and its root has very many. So only those
+    stretches of a text are given to it in which each word follows the one before it in some window, as a table of
+    word pairs tells; a pair that only shares its place in the table with another costs time and changes nothing.
     """
 
     def __init__(self, items, size=WINDOW):
@@ -39,21 +46,41 @@ class WindowAutomaton:
                 owners[key] = owners[key] | {place} if key in owners else frozenset([place])
         self.ids = list(places)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if owners else None
-        shared = {}
+        self.shortest = min(map(len, owners), default=0)
+        self.follows, shared = np.zeros(1 << PAIR_BITS, bool), {}
         for window, items_of in owners.items():
             value = (len(window), items_of)
             self.automaton.add_word(window, shared.setdefault(value, value))
+            numbers = np.array(window)
+            self.follows[self._pair_places(numbers)] = True
         if owners:
             self.automaton.make_automaton()
 
+    @staticmethod
+    def _pair_places(numbers):
+        numbers = numbers.astype(np.uint64)
+        mixed = numbers[:-1] * np.uint64(0x9E3779B97F4A7C15) + numbers[1:] * np.uint64(0xD6E8FEB86659FD93)
+        return (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+    def _stretches(self, words):
+        """(first word, numbers) of the stretches that may hold a window."""
+        get = self.numbers.get
+        numbers = np.fromiter([get(w, 0) for w in words], np.int64, len(words))
+        follows = self.follows[self._pair_places(numbers)] & (numbers[:-1] > 0) & (numbers[1:] > 0)
+        starts = np.concatenate([[0], np.flatnonzero(~follows) + 1])
+        stops = np.concatenate([starts[1:], [len(numbers)]])
+        for i in np.flatnonzero((stops - starts >= self.shortest) & (numbers[starts] > 0)):
+            yield int(starts[i]), tuple(numbers[starts[i] : stops[i]].tolist())
+
     def scan(self, words):
         """(start and end word of every hit stretch, merged; ids of the items found) of one text."""
         if self.automaton is None or not words:
             return [], set()
-        number, found, places = self.numbers.get, [], set()
-        for end, (n, owners) in self.automaton.iter(tuple([number(w, 0) for w in words])):
-            found.append((end + 1 - n, end + 1))
-            places |= owners
+        found, places = [], set()
+        for first, numbers in self._stretches(words):
+            for end, (n, owners) in self.automaton.iter(numbers):
+                found.append((first + end + 1 - n, first + end + 1))
+                places |= owners
         spans = []
         for start, stop in sorted(found):
             if spans and start <= spans[-1][1]:
