@@ -521,6 +521,11 @@ SELECT msg_id, CASE WHEN age IS NOT NULL THEN {_VERDICT} END AS result, 'age ' |
        CAST(age AS INTEGER) AS tokens, CASE WHEN age IS NOT NULL THEN true END AS cache_hit,
        CASE WHEN age IS NOT NULL THEN 3::BIGINT END AS response_time_ms
 FROM keyed LEFT JOIN fresh USING (cache_key)"""
+ORACLES["cache_store_lookup"] = f"""
+WITH {CACHE}
+SELECT msg_id, CASE WHEN age IS NOT NULL THEN {_VERDICT} END AS result, CAST(age AS INTEGER) AS tokens,
+       CASE WHEN age IS NOT NULL THEN true END AS cache_hit
+FROM keyed LEFT JOIN fresh USING (cache_key)"""
 ORACLES["cache_misses"] = f"""
 WITH {CACHE}
 SELECT cache_key, count(*) AS n_messages FROM keyed WHERE cache_key NOT IN (SELECT cache_key FROM fresh) GROUP BY cache_key"""

@@ -754,6 +754,17 @@ def cache_lookup(spark, sf):
     )
 
 
+@query
+def cache_store_lookup(spark, sf):
+    """The same from a store, which reads the parts of the batch's keys."""
+    messages = materialise(C.with_cache_key(I.messages(spark, sf)).select("msg_id", "cache_key"), "messages")
+    store = VerdictStore(spark, scratch_path(spark, "verdicts"))
+    store.put(_cache_rows(spark, sf))
+    c = F.col("cached")
+    return store.lookup(messages, I.NOW).select(
+        "msg_id", c["result"].alias("result"), c["metadata"]["tokens"].alias("tokens"), c["metadata"]["cache_hit"].alias("cache_hit"))
+
+
 @query
 def cache_misses(spark, sf):
     messages = C.with_cache_key(I.messages(spark, sf))
@@ -826,11 +837,10 @@ def mail_opens_stream(spark, sf):
     for i in range(3):
         events.filter(part == i).coalesce(1).write.mode("append").parquet(f"{path}/events")
         stream = SM.read_events(spark, f"{path}/events", events.schema, format="parquet", max_files_per_trigger=1)
-        changes = SM.drop_repeats(M.opened_mail(I.mail_events(stream)))
-        sink = changes.select("event_id", "session_id", "mail_id").writeStream.format("parquet")
-        sink = sink.option("checkpointLocation", f"{path}/progress").trigger(availableNow=True)
-        SM.run_to_end(sink.start(f"{path}/out"))
-    return spark.read.parquet(f"{path}/out")
+        opened = M.opened_mail(I.mail_events(stream))
+        columns = ["event_id", "session_id", "mail_id"]
+        SM.run_to_end(SM.write_changes(opened, path, f"{path}/progress", columns=columns))
+    return SM.read_changes(spark, path, opened.select(columns).schema)
 
 
 @query

@@ -127,6 +127,8 @@ RATE_LIMITED_REASON = "Rate limited - defaulting to cautious assessment"
 API_ERROR_REASON = "API error - defaulting to cautious assessment"
 FALLBACK_CONFIDENCE = 0.5
 CACHE_TTL_HOURS = 24.0
+# Parts of a stored cache by the hash of the key; stores on disk rely on it.
+CACHE_KEY_PARTS = 64
 
 # -- Opened mail -------------------------------------------------------------
 # Message type, mail address pattern and the placeholder of the listing.

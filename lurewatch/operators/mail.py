@@ -12,18 +12,25 @@ def opened_mail(df, address_hash="hash"):
     return df.withColumn("mail_id", M.mail_id(F.col(address_hash))).filter(F.col("mail_id").isNotNull())
 
 
-def drop_repeats(df, session="session_id", mail_id="mail_id", order=("ts", "event_id"), unit="hour"):
+def drop_repeats(df, session="session_id", mail_id="mail_id", order=("ts", "event_id"), unit="hour", before=None):
     """Drop events that open the mail the same session had open just before: A, A, B, A gives A, B, A.
 
     A session may be very large, so it is cut into time buckets. The mail open at the end of the previous
     bucket comes from a table with one row per session and bucket. Choose ``unit`` so that no session has too
     many events in one. Null sessions are one session, as in the streaming form; null times come first.
+    ``before`` is a table with the mail that sessions had open before all of these events, one row each.
     """
     order = list(order)
     bucketed = df.withColumn("_bucket", F.date_trunc(unit, F.col(order[0])))
     ends = bucketed.groupBy(session, "_bucket").agg(F.max_by(mail_id, F.struct(*order)).alias("_end"))
     over_buckets = Window.partitionBy(session).orderBy("_bucket")
-    carried = ends.withColumn("_carried", F.lag("_end").over(over_buckets)).drop("_end")
+    carried = ends.withColumn("_carried", F.lag("_end").over(over_buckets))
+    if before is not None:
+        known = before.select(F.col(session).alias("_known"), F.col(mail_id).alias("_before"))
+        first = F.row_number().over(over_buckets) == 1
+        carried = carried.withColumn("_first", first).join(known, F.col(session).eqNullSafe(F.col("_known")), "left")
+        carried = carried.withColumn("_carried", F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_carried")))
+    carried = carried.select(session, "_bucket", "_carried")
     inside = Window.partitionBy(session, "_bucket").orderBy(*order)
     previous = F.coalesce(F.col("_previous"), F.col("_carried"))
     return (
@@ -37,6 +44,11 @@ def drop_repeats(df, session="session_id", mail_id="mail_id", order=("ts", "even
     )
 
 
+def open_at_end(df, session="session_id", mail_id="mail_id", order=("ts", "event_id")):
+    """The mail that each session has open after its last event; partial maxima before the shuffle."""
+    return df.groupBy(session).agg(F.max_by(mail_id, F.struct(*order)).alias(mail_id))
+
+
 def with_payload(df, email="email", name="name", content="content"):
     """Fold sender and content into ``payload`` and set the message type."""
     payload = F.struct(

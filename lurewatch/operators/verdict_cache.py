@@ -17,15 +17,25 @@ def latest(cache):
     return cache.groupBy("cache_key").agg(newest).select("cache_key", "e.response_json", "e.created_at")
 
 
-def fresh(cache, now, ttl_hours=K.CACHE_TTL_HOURS):
+def key_part(key):
+    """The part of a stored cache that holds a key."""
+    return F.pmod(F.xxhash64(key), F.lit(K.CACHE_KEY_PARTS)).cast("int")
+
+
+def fresh(cache, now, ttl_hours=K.CACHE_TTL_HOURS, keys=None):
     """The valid entry of each key. A key is valid exactly if one of its entries is young enough, so the
-    age filter comes before the grouping, and it compares the bare column, so it reaches the scan."""
-    return latest(cache.filter(F.col("created_at") >= F.lit(float(now) - float(ttl_hours) * 3600)))
+    age filter comes before the grouping, and it compares the bare column, so it reaches the scan.
+
+    With a table of ``keys`` only theirs: other entries are left out before the grouping, so a small batch
+    shuffles the entries it asks for and not the cache.
+    """
+    young = cache.filter(F.col("created_at") >= F.lit(float(now) - float(ttl_hours) * 3600))
+    return latest(young if keys is None else young.join(keys.select("cache_key").distinct(), "cache_key", "left_semi"))
 
 
 def lookup(df, cache, now, ttl_hours=K.CACHE_TTL_HOURS, response_time_ms=0):
     """Add ``cached``: the stored result marked as a cache hit, or null. ``df`` has ``cache_key``."""
-    return with_cached(df, fresh(cache, now, ttl_hours), response_time_ms)
+    return with_cached(df, fresh(cache, now, ttl_hours, df), response_time_ms)
 
 
 def with_cached(df, valid, response_time_ms=0):
@@ -58,7 +68,7 @@ def misses(df, cache, now, ttl_hours=K.CACHE_TTL_HOURS, skip_cache=False, ids="m
     )
     if skip_cache:
         return requests
-    return without_cached(requests, fresh(cache, now, ttl_hours))
+    return without_cached(requests, fresh(cache, now, ttl_hours, df))
 
 
 def without_cached(requests, valid):

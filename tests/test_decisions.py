@@ -98,6 +98,28 @@ def test_store_put_get_expire_clear(spark):
     assert store.entries().count() == 0
 
 
+def test_a_lookup_reads_the_parts_of_its_keys(spark):
+    """Files read grow with the batch, and only entries of its keys are grouped."""
+    store = VerdictStore(spark, scratch_path(spark, "store"))
+    rows = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("cache_key"), F.lit("{}").alias("response_json"),
+                                    F.lit(100.0).alias("created_at"))
+    store.put(rows)
+    store.put(rows.withColumn("created_at", F.lit(150.0)))
+    for n in (0, 1, 5):
+        keys = rows.limit(n).select("cache_key")
+        near = store.entries_near(keys)
+        files = near.select(F.col("_metadata.file_path").alias("f"), "key_part").distinct()
+        parts = keys.select(C.key_part(F.col("cache_key"))).distinct().count()
+        assert files.select("key_part").distinct().count() == parts <= n and files.count() <= 2 * parts
+        assert [r["created_at"] for r in store.valid(keys, 150.0).collect()] == [150.0] * n
+    assert "PartitionFilters: [isnotnull(key_part" in near._jdf.queryExecution().executedPlan().toString() or \
+        "PartitionFilters: [key_part" in near._jdf.queryExecution().executedPlan().toString()
+    assert store.valid(spark.createDataFrame([(None,), ("none",)], "cache_key string"), 150.0).count() == 0
+    assert store.valid(rows.select("cache_key"), 150.0).count() == 2000
+    store.compact()
+    assert store.entries().count() == 2000
+
+
 def test_failed_calls_are_not_stored(spark):
     rows = [("a", "VERDICT: safe", 1, 2, "ok", None, 5), ("b", None, None, None, "rate_limited", "slow", 5)]
     df = spark.createDataFrame(rows, "cache_key string, response_text string, input_tokens int, output_tokens int, "
