@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lurewatch import constants as K
+from lurewatch.functions import punycode as P
 from lurewatch.functions import strings as S
 
 # One pass over the url; tab and line breaks are removed before, so a line feed can part the groups.
@@ -51,16 +52,22 @@ def lenient_host(url):
     return F.translate(F.when(bracketed != "", bracketed).otherwise(plain), "。．｡", "...")
 
 
+def rule_host(host):
+    """The form of a host that rules are compared with: lower case, punycode labels in Unicode."""
+    return P.unicode_host(F.lower(host))
+
+
 def is_ip_host(host):
     """Hosts that have no suffix: an IPv4 address or a bracketed IPv6 address."""
     return F.regexp_like(host, F.lit(rf"\A(?:{_IPV4}|\[{_IPV6}\])\z"))
 
 
 class SuffixRules:
-    """Public-suffix rules held as literals in the plan, so matching needs no join."""
+    """Public-suffix rules held as literals in the plan, so matching needs no join. Rules in punycode and in
+    Unicode are the same."""
 
     def __init__(self, rules=K.DEFAULT_SUFFIXES):
-        rules = [r.strip().lower() for r in rules]
+        rules = [P.unicode_rule(r.strip().lower()) for r in rules]
         self.exceptions = [r[1:] for r in rules if r.startswith("!")]
         self.wildcards = [r[2:] for r in rules if r.startswith("*.")]
         self.plain = [r for r in rules if not r.startswith(("!", "*."))]
@@ -70,7 +77,7 @@ class SuffixRules:
         return [*self.plain, *[f"*.{r}" for r in self.wildcards], *[f"!{r}" for r in self.exceptions]]
 
     def suffix_labels(self, host):
-        """How many labels at the end of the lower-cased ``host`` form its public suffix; 0 if none is known."""
+        """How many labels at the end of a host as ``rule_host`` gives it form its public suffix; 0 if none is known."""
         labels = S.count_char(host, ".") + 1
 
         def tail(k):

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurewatch import constants as K
+from lurewatch.functions import punycode as P
 from lurewatch.functions import urls as U
 from lurewatch.session import materialise
 
@@ -39,7 +40,8 @@ def with_host_parts(df, url="url", suffixes=None):
     if rules is None:
         hosted = _join_suffix_labels(hosted, suffixes)
     else:
-        hosted = hosted.withColumn("_suffix_labels", rules.suffix_labels(F.lower(F.col("_host"))))
+        hosted = hosted.withColumn("_rule_host", U.rule_host(F.col("_host")))
+        hosted = hosted.withColumn("_suffix_labels", rules.suffix_labels(F.col("_rule_host"))).drop("_rule_host")
     parts = F.when(F.col(url).isNotNull(), U.split_host(F.col("_host"), F.col("_suffix_labels")))
     return hosted.withColumn("host_parts", parts).drop(
         "_host", "_suffix_labels"
@@ -52,17 +54,17 @@ def _join_suffix_labels(df, rule_table):
     Very many hosts end alike ("com"). Both sides of that join are plain rows, so Spark splits such a partition;
     a rule that is listed twice changes no maximum.
     """
-    rule = F.lower(F.trim(F.col(rule_table.columns[0])))
+    rule = P.unicode_host(F.lower(F.trim(F.col(rule_table.columns[0]))))
     wild, exception = F.startswith(rule, F.lit("*.")), F.startswith(rule, F.lit("!"))
     rules = rule_table.select(
         F.when(wild, F.substr(rule, F.lit(3))).when(exception, F.substr(rule, F.lit(2))).otherwise(rule).alias("tail"),
         F.when(wild, 1).when(exception, -1).otherwise(0).alias("extra"),
     )
-    hosts = df.select("_host").distinct()
-    labels = F.size(F.split(F.lower("_host"), r"\."))
+    hosts = df.select("_host").distinct().withColumn("_rule_host", U.rule_host(F.col("_host")))
+    labels = F.size(F.split("_rule_host", r"\."))
     tails = hosts.select(
-        "_host", labels.alias("n"), F.explode(F.sequence(F.lit(1), labels)).alias("k")
-    ).withColumn("tail", F.call_function("substring_index", F.lower("_host"), F.lit("."), -F.col("k")))
+        "_host", "_rule_host", labels.alias("n"), F.explode(F.sequence(F.lit(1), labels)).alias("k")
+    ).withColumn("tail", F.call_function("substring_index", F.col("_rule_host"), F.lit("."), -F.col("k")))
     lengths = (
         tails.join(rules, "tail")
         .filter(F.col("k") + F.col("extra") <= F.col("n"))
