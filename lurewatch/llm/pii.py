@@ -40,12 +40,12 @@ BLOCK = 256
 
 @dataclass(frozen=True)
 class PiiConfig:
-    """``sample_rows`` bounds the documents whose candidates train the trees (about as many, by hash of the id);
-    one in five of them calibrates the threshold to ``precision``. A candidate that is neither a base span nor
+    """The candidates of all documents train the trees; one document in five, by hash of the id, calibrates
+    the threshold to ``precision``. ``sample_rows``, if set, bounds the documents instead (about as many). A candidate that is neither a base span nor
     refused counts as a negative of weight ``unknown``, since some are what the base formats miss; a leaf holds
     at least the share ``leaf`` of all weight, so a few of them get no leaf of their own."""
 
-    sample_rows: int = 20_000
+    sample_rows: int | None = None
     trees: int = 10
     depth: int = 3
     precision: float = 0.95
@@ -228,7 +228,7 @@ def margin_score(model, f):
 
 
 def train(docs, ids="doc_id", text="text", config=PiiConfig()):
-    """(model, threshold), or None where the sample holds not both base and other candidates.
+    """(model, threshold), or None where the rows hold not both base and other candidates.
 
     A candidate that is a base span is a positive example. Refused ones are negative, others weigh little, and
     those that overlap a base span are left out. The checks behind the base formats are no features, so the trees
@@ -236,11 +236,12 @@ def train(docs, ids="doc_id", text="text", config=PiiConfig()):
     on the calibration rows have the wanted precision, by weight, and the next score below; at one half at least,
     since where hardly anything is negative every score has that precision.
     """
-    share = min(1.0, config.sample_rows / max(docs.count(), 1))
     rank = F.pmod(F.xxhash64(F.col(ids)), F.lit(1 << 30))
-    sample = docs.filter(rank < int(share * (1 << 30))).select(rank.alias("_rank"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    if config.sample_rows is not None:
+        docs = docs.filter(rank < int(min(1.0, config.sample_rows / max(docs.count(), 1)) * (1 << 30)))
+    given = docs.select(rank.alias("_rank"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     # The outer form: for the plain one the optimizer filters by the array's size, and so computes it for all rows.
-    rows = with_candidates(with_base_spans(sample, "_text"), "_text").select("_rank", F.explode_outer("_candidates").alias("c")).filter("c IS NOT NULL AND (c.base OR NOT c.overlaps)")
+    rows = with_candidates(with_base_spans(given, "_text"), "_text").select("_rank", F.explode_outer("_candidates").alias("c")).filter("c IS NOT NULL AND (c.base OR NOT c.overlaps)")
     rows = materialise(rows.select((F.pmod(F.col("_rank"), F.lit(5)) == 0).alias("held"), F.col("c.base").cast("double").alias("label"),
                                   F.when(F.col("c.base") | F.col("c.refused"), 1.0).otherwise(config.unknown).alias("weight"), F.col("c.f").alias("f")), "pii-candidates")
     classes = {(r["held"], r["label"]) for r in rows.select("held", "label").distinct().collect()}

@@ -437,3 +437,13 @@ def test_trees_add_spans_beyond_the_base_formats(spark):
     found = {r["doc_id"]: [s for s in r["spans"] if not s["base"]] for r in rows_of(pii.find_pii(docs, trained))}
     added = {i: [new[i][s["start"]:s["end"]] for s in found[i]] for i in new}
     assert added == {1000: ["(030) 555-12345"], 1001: ["root@localhost"], 1002: [], 1003: []}
+
+
+def test_personal_data_is_learned_from_all_documents(spark, monkeypatch):
+    from lurewatch.llm import pii
+
+    counted, kept = [], pii.materialise
+    monkeypatch.setattr(pii, "materialise", lambda df, *a: counted.append(kept(df, *a)) or counted[-1])
+    docs = spark.range(24_000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN concat('mail a', id, '@b.org') ELSE 'x 1234567 y' END AS text")
+    assert pii.train(docs) is not None
+    assert counted[0].filter("label = 1").count() == 12_000 and counted[0].filter("label = 0").count() == 12_000
