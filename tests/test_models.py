@@ -142,3 +142,28 @@ def test_a_filter_on_a_score_does_not_repeat_the_model(spark, sf):
         return df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(")
 
     assert tokenisations(scored.filter("tier2_result.score > 0.5")) == tokenisations(scored)
+
+
+def test_terms_joined_with_a_vocabulary_move_once(spark):
+    """Only known terms are shuffled, once, by document; rows with one id are one document."""
+    rows = [(1, "pay now pay"), (1, "pay later"), (2, "later later"), (None, "now"), (None, "now pay"), (3, ""), (4, None), (5, "zzz")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    vocabulary = spark.createDataFrame([("pay", 2.0), ("later", 3.0), ("pay later", 1.0)], "term string, idf double")
+    out = X.tfidf_joined(df, F.broadcast(vocabulary), normalise=False)
+    assert {(r["doc_id"], r["term"], r["tf"], r["tfidf"]) for r in out.collect()} == {
+        (1, "pay", 3, 6.0), (1, "later", 1, 3.0), (1, "pay later", 1, 1.0), (2, "later", 2, 6.0), (None, "pay", 1, 2.0)}
+    plan = X.tfidf_joined(df, F.broadcast(vocabulary))._jdf.queryExecution().executedPlan().toString()
+    assert plan.partition("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_characters_that_become_several_are_found_without_a_class(spark):
+    """A search with a class of many ranges took most of the time of tokens."""
+    from lurewatch.functions import strings as ST
+
+    df = spark.createDataFrame([("ﬁn é ß ½ 한글 각 𝐀 ㎏ ǆ",), ("naïve",), ("plain",), ("",), (None,)], "t string")
+    out = df.select(ST.strip_accents(F.col("t")).alias("t"))
+    import unicodedata
+
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    assert [r["t"] for r in out.collect()] == [None if r["t"] is None else plain(r["t"]) for r in df.collect()]
+    assert "RLIKE" not in (p := out._jdf.queryExecution().optimizedPlan().toString()) and "regexp_like" not in p
