@@ -122,17 +122,11 @@ def positions(vector):
 def tfidf_joined(df, vocabulary, ids="doc_id", text="text", config=TextConfig(), normalise=True):
     """The long form for a vocabulary (term, idf) of any size, by a join on the term.
 
-    Terms are counted inside their row, unknown ones leave with the join, and only what is left is shuffled, once, by
-    document: rows with one id are one document. That is the only group that meets in one task."""
-    terms = with_terms(df, text, config=config).select(F.col(ids), F.sort_array("terms").alias("s"))
-    # A run of equal terms starts where the term before is another one and ends where the next run starts.
-    starts = F.filter(F.sequence(F.lit(1), F.size("s")), lambda i: (i == 1) | (F.get("s", i - 1) != F.get("s", i - 2)))
-    runs = terms.filter(F.size("s") > 0).withColumn("_starts", starts)
-    stops = F.concat(F.slice("_starts", F.lit(2), F.size("_starts")), F.array(F.size("s") + 1))
-    counts = F.zip_with("_starts", stops, lambda a, b: F.struct(F.get("s", a - 1).alias("term"), (b - a).alias("n")))
-    counted = runs.select(ids, F.explode_outer(counts).alias("c")).select(ids, "c.term", "c.n")
-    known = counted.join(vocabulary.select("term", "idf"), "term").repartition(F.col(ids))
-    tf = known.groupBy(ids, "term", "idf").agg(F.sum("n").alias("tf"))
+    Unknown terms leave with the join, and only what is left is shuffled, once, by document: rows with one id are one
+    document. That is the only group that meets in one task."""
+    exploded = with_terms(df, text, config=config).select(ids, F.explode_outer("terms").alias("term"))
+    known = exploded.join(vocabulary.select("term", "idf"), "term").repartition(F.col(ids))
+    tf = known.groupBy(ids, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
     weighted = tf.select(ids, "term", F.col("tf").cast("int").alias("tf"), (F.col("tf") * F.col("idf")).alias("tfidf"))
     if not normalise:
         return weighted
