@@ -1,5 +1,7 @@
 """Text operators, sources and models."""
 
+import unicodedata
+
 import pytest
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
@@ -167,3 +169,34 @@ def test_characters_that_become_several_are_found_without_a_class(spark):
     plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
     assert [r["t"] for r in out.collect()] == [None if r["t"] is None else plain(r["t"]) for r in df.collect()]
     assert "RLIKE" not in (p := out._jdf.queryExecution().optimizedPlan().toString()) and "regexp_like" not in p
+
+
+def test_texts_are_split_without_being_moved_and_rows_with_one_id_keep_their_own(spark, monkeypatch):
+    """Splits joined and shuffled whole texts, once for each branch of each split."""
+    from lurewatch.plans import training as P
+
+    rows = [(i // 2, f"text {i}", i % 3 == 0) for i in range(120)]  # every id twice, with other texts and labels
+    frame = spark.createDataFrame(rows, "doc_id int, text string, label boolean").withColumn("label", F.col("label").cast("int"))
+    split, columns = P._parts, []
+    monkeypatch.setattr(P, "_parts", lambda df, *args: columns.append(df.columns) or split(df, *args))
+    found = P._parts_of_texts(frame, "doc_id", 0.2, 42, False)
+    assert [c for c in columns if "text" in c] == [] and columns
+    assert sorted(found.columns) == ["doc_id", "is_test", "label", "part", "text"]
+    assert sorted((r["doc_id"], r["text"], r["label"] == 1) for r in found.collect()) == sorted(rows)
+    sizes = {r["part"]: r["count"] for r in found.groupBy("part").count().collect()}
+    assert sizes["test"] == 24 and sizes["valid"] == 20 and sizes["fit"] == 76
+    with pytest.raises(Exception, match="label is missing"):
+        P._parts_of_texts(frame.withColumn("label", F.expr("CASE WHEN doc_id > 3 THEN label END")), "doc_id", 0.2, 42, False).collect()
+
+
+def test_accents_are_looked_for_beyond_ascii(spark):
+    """Whole texts were searched, character by character, and texts without an accent were written anew."""
+    from lurewatch.functions.strings import strip_accents
+
+    texts = ["plain", "“quoted” – no accent", "Ça va, naïve", "ﬁne ½ 한글 é", "", None, "日本語", "é", "…" * 3]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strip_accents(F.col("t")).alias("s"))
+    for t, s in frame.collect():
+        plain = None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+        assert s == plain
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "[\\x00-\\x7f]" in plan
