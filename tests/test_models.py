@@ -200,3 +200,12 @@ def test_accents_are_looked_for_beyond_ascii(spark):
         assert s == plain
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert "[\\x00-\\x7f]" in plan
+
+
+def test_a_roundtrip_scores_messages_once_by_each_model(spark, sf, monkeypatch):
+    """Scores before saving were computed for the comparison and once more for their number."""
+    seen, drift = [], Q.V.score_drift
+    monkeypatch.setattr(Q.V, "score_drift", lambda before, after, **names: seen.append(before) or drift(before, after, **names))
+    out = Q.model_roundtrip(spark, sf).first()
+    assert out["n_drifted"] == 0 and out["n_scored"] == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert "regexp_extract_all(" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
