@@ -82,3 +82,23 @@ def test_empty_and_null(spark):
     late = events(spark, [(None, "A", 5), (None, "B", 6)])
     before = M.open_at_end(events(spark, [(None, "A", 1)]))
     assert [r["event_id"] for r in M.drop_repeats(late, before=before).collect()] == [6]
+
+
+def test_captured_mail_of_one_file_is_scored_by_several_tasks(spark):
+    """A file of one row group was one task, whatever its size."""
+    path, parts = scratch_path(spark, "stream"), []
+    rows = spark.range(1000).select(F.col("id").alias("event_id"), F.struct(F.format_string("see https://example.com/%d", "id").alias("content")).alias("payload"))
+    rows.coalesce(1).write.parquet(f"{path}/in")
+
+    class Scorer:
+        def analyze_all(self, messages):
+            parts.append([r["count"] for r in messages.groupBy(F.spark_partition_id()).count().collect()])
+            return messages.select("msg_id"), messages.select("msg_id").filter("msg_id < 0")
+
+        def drop_scratch(self):
+            pass
+
+    stream = SM.read_events(spark, f"{path}/in", rows.schema, format="parquet")
+    SM.run_to_end(SM.write_scores(stream, Scorer(), f"{path}/out", f"{path}/progress"))
+    assert sorted(r["msg_id"] for r in spark.read.parquet(f"{path}/out/verdicts").collect()) == list(range(1000))
+    assert len(parts[0]) > 1 and max(parts[0]) < 1000 / 2
